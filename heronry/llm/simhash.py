@@ -15,7 +15,7 @@ from itertools import combinations, permutations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LOWER, map_batches, texts_of, written
@@ -178,6 +178,15 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     return near.union(met.filter("u <> v"))
 
 
+def _grouped(marked: DataFrame, first: Column) -> DataFrame:
+    """fp, and first: the least of `first` over the component of the fingerprint."""
+    groups = written(marked.groupBy("fp").agg(F.min(first).alias("first")), "groups")
+    found = components(links(groups))
+    placed = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = placed.groupBy("component").agg(F.min("first").alias("first"))
+    return placed.drop("first").join(least, "component").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, fp (signed long) and component_id: the smallest doc_id among documents that links can reach.
 
@@ -187,9 +196,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked = written(fingerprints(named, **options), "fingerprints")
-    groups = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    found = components(links(groups))
-    in_component = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = in_component.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = in_component.join(smallest, "component").select("fp", "component_id")
+    ids = _grouped(marked, F.col("doc_id")).withColumnRenamed("first", "component_id")
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """One document of each component, with all its columns: that of the smallest doc_id (null last), then of the
+    smallest hash of the text. Rows that repeat its doc_id and text stay with it."""
+    ident, digest = F.col(doc_id).cast("long"), F.xxhash64(text)
+    named = docs.select(ident.alias("doc_id"), digest.alias("digest"), F.col(text).alias("text"))
+    marked = written(fingerprints(named, keep=("doc_id", "digest"), **options), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    kept = _grouped(marked, first).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")).distinct()
+    return docs.join(kept, ident.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
