@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, fold, texts_of, written
+from .common import _LOWER, fold, texts_of
 
 HOLD_MODULUS, HELD_OUT = 7, 2
 MAX_DEPTH = 2
@@ -266,8 +266,8 @@ def scores(
     count and are scored each; a null doc_id counts as the empty text in the fold. Without training rows every word is
     unknown. An empty table gives no rows.
 
-    Words and n-grams are told apart by 64-bit hashes. Blocks lie in a bucketed table of the warehouse, so that they
-    are not shuffled when answers come in.
+    Words and n-grams are told apart by 64-bit hashes. Blocks and answers lie in bucketed tables of the warehouse, so
+    that no step shuffles what an earlier one has.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (fold(doc_id, HOLD_MODULUS) != HELD_OUT).alias("trained"))
@@ -278,13 +278,16 @@ def scores(
     total, training = blocks.agg(F.sum("n_tokens"), F.sum("n_training")).first()
     buckets = max(1, math.ceil((total or 0) / bucket_keys))
     numbers = {"tokens": float(training or 0), "words": 0.0, "min_count": min_count, "min_divergence": min_divergence, "strength": strength}
+    kept = f"answers_{uuid.uuid4().hex}"
     answers = spark.createDataFrame([], _ANSWER)
     for step in range(2 * depth + 1):
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(step, buckets, dict(numbers)), _ASK)
-        answered = written(asked.groupBy("bucket").applyInArrow(_totals(step), _ANSWER), "answers", "none")
+        answered = asked.groupBy("bucket").applyInArrow(_totals(step), _ANSWER)
+        # dealt like the blocks, once, for all steps that follow
+        answered.repartition(parts, "block").write.mode("append").bucketBy(parts, "block").option("compression", "none").saveAsTable(kept)
+        answers = spark.table(kept)
         if step == 0:
-            numbers["words"] = float(answered.agg(F.sum("n_distinct")).first()[0] or 0)
-        answers = answered if step == 0 else answers.union(answered)
+            numbers["words"] = float(answers.agg(F.sum("n_distinct")).first()[0] or 0)
 
     def last(block: pa.Table, answered: pa.Table) -> pa.Table:
         return _opened(block, answered, numbers).score(depth)
