@@ -50,7 +50,8 @@ def targets(totals: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     # the level if this source and those after it are not full
     level = (F.sum("source_size").over(whole) - F.col("caps") + F.col("cap")) / (F.sum("weight").over(whole) - F.col("weights") + F.col("weight"))
     levelled = weighed.withColumn("caps", F.sum("cap").over(sofar)).withColumn("weights", F.sum("weight").over(sofar)).withColumn("here", level)
-    open_level = F.min(F.when(F.col("ratio") > F.col("here"), F.struct("ratio", "here"))).over(whole)["here"]
+    first_open = F.min(F.when(F.col("ratio") > F.col("here"), F.struct("ratio", -F.col("here")))).over(whole)
+    open_level = -first_open["col2"]
     target = F.when(F.col("ratio") > F.col("here"), F.col("weight") * open_level).otherwise(F.col("cap").cast("double"))
     return levelled.select("source", "source_size", target.cast("double").alias("target"))
 

@@ -99,7 +99,7 @@ c AS (SELECT *, cap / weight::DOUBLE AS ratio, sum(source_size) OVER () AS total
              sum(cap) OVER w - cap AS caps, sum(weight) OVER () - (sum(weight) OVER w - weight) AS weights FROM t
       WINDOW w AS (ORDER BY cap / weight::DOUBLE, source NULLS LAST)),
 l AS (SELECT *, (total - caps)::DOUBLE / weights::DOUBLE AS here FROM c),
-o AS (SELECT arg_min(here, ratio) FILTER (ratio > here) AS lvl FROM l),
+o AS (SELECT (SELECT here FROM l WHERE ratio > here ORDER BY ratio, here DESC LIMIT 1) AS lvl),
 g AS (SELECT source AS s, source_size, CASE WHEN ratio > here THEN weight * lvl ELSE cap::DOUBLE END AS target FROM l, o),
 e AS (SELECT *, least(floor(target / greatest(source_size, 1)), 3)::BIGINT AS epochs FROM g),
 p AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS rest,
