@@ -13,6 +13,7 @@ import pickle
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import IO
 
 import pyarrow as pa
 import xxhash
@@ -124,30 +125,44 @@ class PatriciaTrie:
 
     def items(self) -> Iterator[tuple[bytes, Group]]:
         """Every distinct string with its group; the trie is used up."""
-        files = [node.file for _, node in self.root.edges.values() if node.file]
-        self.root.edges = {k: e for k, e in self.root.edges.items() if not e[1].file}
+        todo = self._files(b"")
         yield from self._walk(self.root, b"")
         self.root = _Node()
-        for file in files:
-            yield from self._again(file)
-
-    def _again(self, file) -> Iterator[tuple[bytes, Group]]:
-        """A spilled subtree, as a trie below the first byte that all its strings share."""
+        while todo:
+            prefix, file = todo.pop()
+            shared = self._shared(file)
+            below = PatriciaTrie(self.budget)
+            for text, group in self._entries(file):
+                below.insert(text[len(shared) :], group)
+            file.close()
+            todo += below._files(prefix + shared)
+            for text, group in below._walk(below.root, b""):
+                yield prefix + shared + text, group
+
+    def _files(self, prefix: bytes) -> list[tuple[bytes, IO[bytes]]]:
+        """The spilled subtrees, which leave the trie."""
+        found = [(k, e[1].file) for k, e in self.root.edges.items() if e[1].file]
+        for k, _ in found:
+            del self.root.edges[k]
+        return [(prefix, file) for _, file in found]
+
+    @staticmethod
+    def _entries(file: IO[bytes]) -> Iterator[tuple[bytes, Group]]:
         size = file.seek(0, os.SEEK_END)
         file.seek(0)
-        below = PatriciaTrie(self.budget)
-        first = b""
         while file.tell() < size:
-            text, group = pickle.load(file)  # noqa: S301 - written by this very task
-            first = text[:1]
-            below.insert(text[1:], group)
-        file.close()
-        for text, group in below.items():
-            yield first + text, group
+            yield pickle.load(file)  # noqa: S301 - written by this very task
+
+    def _shared(self, file: IO[bytes]) -> bytes:
+        """What all strings of a spilled subtree begin with, so that the tries built from it branch at once."""
+        shared = None
+        for text, _ in self._entries(file):
+            shared = text if shared is None else shared[: _common(shared, text)]
+        return shared or b""
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct normalised texts of a task with their groups, in portions of FOLD_BYTES."""
+def _fold(batches: Iterator[pa.RecordBatch], fold_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Distinct normalised texts of a task with their groups, in portions of `fold_bytes`."""
     held: dict[bytes, Group] = {}
     used = 0
     for batch in batches:
@@ -161,7 +176,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     held[key] = group
                     used += len(key) + 200
-            if used > FOLD_BYTES:
+            if used > fold_bytes:
                 yield from _portions(held)
                 held, used = {}, 0
     yield from _portions(held)
@@ -182,9 +197,9 @@ def _portions(held: dict[bytes, Group]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["length", "hash", "content", "points", "owner", "size"])
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own(batches: Iterator[pa.RecordBatch], trie_bytes: int) -> Iterator[pa.RecordBatch]:
     """One partition's trie, read out as a row per distinct text."""
-    trie = PatriciaTrie()
+    trie = PatriciaTrie(trie_bytes)
     for batch in batches:
         points, owners, sizes = (batch.column(i).to_pylist() for i in range(1, 4))
         for at in range(0, batch.num_rows, 256):
@@ -206,12 +221,12 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold_bytes: int = FOLD_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """text_sha256, keep_id and group_size of every distinct normalised text."""
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text))
-    folded = rows.mapInArrow(_fold, "length long, hash long, content binary, points long, owner long, size long")
+    folded = rows.mapInArrow(lambda batches: _fold(batches, fold_bytes), "length long, hash long, content binary, points long, owner long, size long")
     dealt = folded.repartition("length", "hash").select("content", "points", "owner", "size")
-    return dealt.mapInArrow(_own, "text_sha256 string, keep_id long, group_size long")
+    return dealt.mapInArrow(lambda batches: _own(batches, trie_bytes), "text_sha256 string, keep_id long, group_size long")
 
 
 def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -219,7 +234,7 @@ def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text_sha256"])
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`.
 
     Texts are equal when they are identical after all ASCII white space is deleted; null counts as empty, and empty
@@ -229,7 +244,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked = map_batches(rows, _digests, "doc_id long, text_sha256 string")
-    joined = marked.join(written(owners(docs, text, doc_id), "owners"), "text_sha256")
+    joined = marked.join(written(owners(docs, text, doc_id, **options), "owners"), "text_sha256")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
