@@ -123,7 +123,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return Record("revisit", headers, http)
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa.RecordBatch]:
     part, number, held, used = TaskContext.get().partitionId(), 0, [], 0
 
     def close() -> pa.RecordBatch:
@@ -136,7 +136,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in batch.slice(at, 64).to_pylist():
                 held.append(encode(page_record(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"])))
                 used += len(held[-1])
-                if used >= ARCHIVE_BYTES:
+                if used >= archive_bytes:
                     yield close()
                     number, held, used = number + 1, [], 0
     if held:
@@ -159,7 +159,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
 
 
-def write_archives(pages: DataFrame) -> DataFrame:
+def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, data): the archives of a pages table, in the shared folder.
 
     Of records with equal payloads of at least MIN_REVISIT_BYTES, that with the smallest page_id is the response.
@@ -171,7 +171,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     again = digests.join(first.drop("n"), "digest").filter("page_id <> refers_to").distinct()
     marked = rows.select("*", digest).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
-    return written(marked.mapInArrow(_write, "archive string, data binary"), "warc", "none")
+    return written(marked.mapInArrow(lambda batches: _write(batches, archive_bytes), "archive string, data binary"), "warc", "none")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
