@@ -69,27 +69,26 @@ def json_number(metadata: Column, field: str) -> Column:
 
 
 def predicate(where: Filter, metadata: Column | None = None, columns: dict[str, Column] | None = None) -> Column:
-    """`where` as a boolean column, never null.
+    """`where` as a boolean column; null, of a missing field, is as good as false in a filter and in And and Or.
 
     Fields in `columns` are typed columns, whose predicates reach the Parquet scan; others are looked up in the JSON
     text. An And without parts is true, an Or without parts false; a range whose bounds cross matches nothing.
     """
     columns = columns or {}
-    false = F.lit(False)
     match where:
         case Eq(field, value):
             found = columns[field].cast("string") if field in columns else json_text(metadata, field)
-            return F.coalesce(found == value, false)
+            return found == value
         case Range(field, gte, lt):
             found = columns[field] if field in columns else json_number(metadata, field)
             tests = [found.isNotNull()]
             tests += [found >= gte] if gte is not None else []
             tests += [found < lt] if lt is not None else []
-            return F.coalesce(reduce(lambda a, b: a & b, tests), false)
+            return reduce(lambda a, b: a & b, tests)
         case And(parts):
             return reduce(lambda a, b: a & b, (predicate(p, metadata, columns) for p in parts), F.lit(True))
         case Or(parts):
-            return reduce(lambda a, b: a | b, (predicate(p, metadata, columns) for p in parts), false)
+            return reduce(lambda a, b: a | b, (predicate(p, metadata, columns) for p in parts), F.lit(False))
     raise InvalidInput(f"not a filter: {where!r}")
 
 

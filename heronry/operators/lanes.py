@@ -24,6 +24,8 @@ RANK_DIGITS = 9
 EXACT_BELOW = 8_192
 #: Vectors and queries of one block of the exact search.
 VECTOR_BLOCK, QUERY_BLOCK = 8_192, 1_024
+#: The share of an approximate index's lists that a query reads.
+PROBES = 0.7
 
 
 def ranked(scored: DataFrame, k: int | None, by: tuple[str, ...] = ("qid",), score: str = "score") -> DataFrame:
@@ -148,7 +150,8 @@ def overall_route(routes: list[str]) -> str:
 
 
 class IvfIndex:
-    """Approximate search: vectors by nearest centroid, and only the `probes` nearest lists of a query are read.
+    """Approximate search: vectors by nearest centroid, and only the `probes` nearest lists of a query are read (PROBES
+    of all lists, where none are given; vectors without clusters need that many for a recall of 0.9).
 
     Centroids are fitted on a bounded sample (`sample` rows of the smallest hashes), every row is indexed. Recall
     depends on the data; tests hold it against the exact lane.
@@ -185,9 +188,10 @@ class IvfIndex:
         found = rows.mapInArrow(nearest, f"{ident} {kind[ident]}, {vector} array<double>, lists array<int>")
         return found.select(ident, vector, F.explode("lists").alias("list"))
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, candidates: DataFrame | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
         asked = queries.filter("qvec is not null").select("qid", normalize(F.col("qvec")).alias("qvec"))
         rows = self.rows if candidates is None else self.rows.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
+        probes = probes or math.ceil(PROBES * len(self.centroids))
         pairs = self._assign(asked, "qid", "qvec", probes).join(rows, "list")
         score = F.aggregate(F.zip_with("qvec", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         return ranked(pairs.select("qid", "chunk_id", score.alias("score")), k)
