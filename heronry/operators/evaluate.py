@@ -136,6 +136,14 @@ def latency(run: Callable[[], object], warm_up: int = 3, reps: int = 20) -> dict
     return {f"p{p}": taken[max(0, math.ceil(p / 100 * len(taken)) - 1)] for p in (50, 99)}
 
 
+def filter_costs(paths: dict[str, DataFrame], reps: int = 5) -> dict[str, dict[str, float]]:
+    """Seconds of ways to evaluate the same filter, each a plan that keeps the rows that pass; all must keep as many."""
+    kept = {name: df.count() for name, df in paths.items()}
+    if len(set(kept.values())) > 1:
+        raise InvalidInput(f"the filters differ: {kept}")
+    return {name: latency(df.count, 1, reps) for name, df in paths.items()}
+
+
 def throughput(run: Callable[[], object], threads: tuple[int, ...] = (1, 2, 4, 8), calls: int = 8) -> dict[int, float]:
     """Calls per second by number of threads on one session; every call must give the same result."""
     expected, out = run(), {}

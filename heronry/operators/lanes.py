@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import InvalidInput
+from ..errors import GraphStale, InvalidInput
 from ..functions.text import Analyzer, StandardAnalyzer
 from ..functions.vectors import normalize
 
@@ -173,6 +173,23 @@ class IvfIndex:
                     self.centroids[i] = mean / max(float(np.linalg.norm(mean)), 1e-12)
         self.rows = self._assign(unit, "chunk_id", "vector", 1)
 
+    def save(self, path: str, generation: int) -> None:
+        """As a table of a snapshot's generation: a cache that can be made again."""
+        spark = self.rows.sparkSession
+        self.rows.write.parquet(f"{path}/rows")
+        found = [(i, generation, c.tolist()) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(found, "list int, generation long, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, generation: int) -> IvfIndex:
+        """Raises GraphStale if it belongs to another generation."""
+        found = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # at most the square root of the sample
+        if {r.generation for r in found} != {generation}:
+            raise GraphStale(f"{path} is not of generation {generation}")
+        made = cls.__new__(cls)
+        made.centroids, made.rows = np.array([r.centroid for r in found]), spark.read.parquet(f"{path}/rows")
+        return made
+
     def _assign(self, rows: DataFrame, ident: str, vector: str, n: int) -> DataFrame:
         centroids = self.centroids
 
