@@ -1,8 +1,9 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's root is the add-one distribution of single words. A context of d words is a state if it occurs MIN_COUNT
-times at least, its suffix of d - 1 words is a state, and its next-word distribution diverges from the suffix's: the
-mean log-ratio of the two, each occurrence scored by the counts without itself, is MIN_DIVERGENCE at least. A state's
+The tree's root is the add-one distribution of single words. A context of d words is a candidate if it occurs MIN_COUNT
+times at least, its last d - 1 words are a state and its first d - 1 words a candidate. It is a state if its next-word
+distribution diverges from its suffix's: the mean log-ratio of the two, each occurrence scored by the counts without
+itself, is MIN_DIVERGENCE at least. A state's
 distribution is its counts smoothed by its suffix's distribution, and a word is scored by the longest suffix of what
 stands before it that is a state.
 
@@ -17,19 +18,19 @@ from __future__ import annotations
 
 import itertools
 import math
-import random
 import uuid
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, fold, texts_of
+from .common import _LOWER, fold, shuffles_removed, texts_of
 
 HOLD_MODULUS, HELD_OUT = 7, 2
 MAX_DEPTH = 2
@@ -47,7 +48,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 _BLOCK = "block long, tokens binary, vocabulary binary, lengths binary, training binary, doc_ids binary, n_tokens long, n_training long"
 _ASK = "block long, bucket int, keys binary, amounts binary"
-_ANSWER = "block long, step int, bucket int, totals binary, owned binary, n_distinct long"
+_ANSWER = "block long, step int, bucket int, totals binary, flags binary, n_distinct long"
 
 
 def _hash_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -58,14 +59,34 @@ def _hash_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
 
 def _unpack(b: bytes, dtype: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_counts(a: np.ndarray) -> bytes:
+    """Whole numbers, mostly small, byte by byte."""
+    return _pack(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _unpack_counts(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.float64)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising numbers as their differences, byte by byte: the upper bytes, nearly all zero, take no room."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return _pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    planes = _unpack(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
     """Documents as numbers of a block's own vocabulary, in which 0 is the start and 1 the end of a text."""
     names = [f.split()[0] for f in _BLOCK.split(", ")]
 
@@ -74,13 +95,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return number, [], [], [], []
 
     number, tokens, lengths, training, ids = fresh()
-    held = 0
+    held, serial = 0, itertools.count()
 
     def close() -> pa.RecordBatch:
         hashes = np.array([_START, _END, *map(xxhash.xxh64_intdigest, number)], np.uint64)
         size, trained = np.array(lengths, np.int64), np.array(training, bool)
         row = {
-            "block": random.SystemRandom().getrandbits(62), "tokens": _pack(np.concatenate(tokens)), "vocabulary": hashes.tobytes(), "lengths": _pack(size), "training": _pack(trained),
+            "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack(np.concatenate(tokens)), "vocabulary": hashes.tobytes(), "lengths": _pack(size), "training": _pack(trained),
             "doc_ids": _pack(np.array([(i or 0, i is None) for i in ids], np.int64)), "n_tokens": int(size.sum()), "n_training": int(size[trained].sum()),
         }
         return pa.RecordBatch.from_pylist([row], pa.schema([(n, pa.int64() if n in ("block", "n_tokens", "n_training") else pa.binary()) for n in names]))
@@ -93,7 +114,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             training.append(trained)
             ids.append(doc_id)
             held += len(words) + 1
-            if held >= BLOCK_TOKENS:
+            if held >= block_tokens:
                 yield close()
                 number, tokens, lengths, training, ids = fresh()
                 held = 0
@@ -160,14 +181,14 @@ class _Block:
         self.used = np.flatnonzero(used)
         self.used = self.used[np.argsort(self.keys[self.used])]
         amounts = np.bincount(context, gain, len(self.keys))
-        return self.keys[self.used], amounts[self.used]
+        return self.keys[self.used], amounts[self.used] / self.counts[self.used]
 
     def descend(self, step: int) -> None:
         """Scores by the states of this depth, and the contexts of the next one."""
         self.gains(step)
         totals, _ = self.answers[step - 1]
         state = np.zeros(len(self.keys), bool)
-        state[self.used] = self.answers[step][0] / self.counts[self.used] >= self.numbers["min_divergence"]
+        state[self.used] = self.answers[step][1]
         context, n, k = self.context[self.at], totals[self.gram], self.numbers["strength"]
         here = state[context]
         at = self.at[here]
@@ -205,11 +226,11 @@ class _Block:
 
 
 def _opened(block: pa.Table, answers: pa.Table, numbers: dict) -> _Block:
-    rows = sorted(answers.select(["step", "bucket", "totals", "owned"]).to_pylist(), key=lambda r: (r["step"], r["bucket"]))
+    rows = sorted(answers.select(["step", "bucket", "totals", "flags"]).to_pylist(), key=lambda r: (r["step"], r["bucket"]))
     found = {}
     for step, pieces in itertools.groupby(rows, lambda r: r["step"]):
         pieces = list(pieces)
-        found[step] = tuple(np.concatenate([_unpack(p[c], t) for p in pieces]) for c, t in (("totals", np.float64), ("owned", bool)))
+        found[step] = tuple(np.concatenate([f(p[c]) for p in pieces]) for c, f in (("totals", _unpack_counts), ("flags", lambda b: _unpack(b, bool))))
     row = block.to_pylist()[0]
     return _Block(row, defaultdict(lambda: (np.zeros(0), np.zeros(0, bool)), found), numbers)
 
@@ -223,41 +244,56 @@ def _asker(step: int, buckets: int, numbers: dict):
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             name = block["block"][0].as_py()
+            pack = (lambda a: _pack(a.astype(np.float32))) if _asks_states(step) else _pack_counts
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[b], edges[b + 1])
-                out.append((name, b, keys[part].tobytes(), _pack(amounts[part])))
+                out.append((name, b, _pack_sorted(keys[part]), pack(amounts[part])))
         columns = zip(*out, strict=True) if out else ((),) * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "keys", "amounts"])
 
     return run
 
 
-def _totals(step: int):
-    """A bucket's answers: to each block the totals of its keys, and which of them it owns (each key has one owner)."""
+def _asks_states(step: int) -> bool:
+    """Whether blocks send what contexts gain, and ask which are states; else they send and ask for counts."""
+    return step > 0 and step % 2 == 0
+
+
+def _totals(step: int, min_divergence: float):
+    """A bucket's answers to each block: the totals of its keys and which of them it owns (each key has one owner), or
+    whether its contexts are states."""
 
     def run(asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("block")  # sums come out alike in every run
         blocks, buckets = asked["block"].to_pylist(), asked["bucket"].to_pylist()
-        parts = [np.frombuffer(k, np.uint64) for k in asked["keys"].to_pylist()]
-        keys, amounts = np.concatenate(parts), np.concatenate([_unpack(a, np.float64) for a in asked["amounts"].to_pylist()])
-        order = np.argsort(keys)
+        parts = [_unpack_sorted(k) for k in asked["keys"].to_pylist()]
+        unpack = (lambda b: _unpack(b, np.float32).astype(np.float64)) if _asks_states(step) else _unpack_counts
+        keys, amounts = np.concatenate(parts), np.concatenate([unpack(a) for a in asked["amounts"].to_pylist()])
+        order = np.argsort(keys, kind="stable")
         new = np.append(True, np.diff(keys[order]) != 0)
         starts = np.flatnonzero(new)
         sums = np.add.reduceat(amounts[order], starts)
-        totals, owned = np.empty(len(keys)), np.zeros(len(keys), bool)
-        totals[order] = sums[np.cumsum(new) - 1]
-        owned[order[starts]] = True
+        each, totals, flags = np.cumsum(new) - 1, np.zeros(len(keys)), np.zeros(len(keys), bool)
+        if _asks_states(step):
+            flags[order] = (sums >= min_divergence)[each]
+        else:
+            totals[order] = sums[each]
+            flags[order[starts]] = True
         words = int(((sums > 0) & (keys[order[starts]] != _START)).sum())
         edges = np.append(0, np.cumsum([len(p) for p in parts]))
-        rows = [(blocks[i], step, buckets[i], _pack(totals[edges[i] : edges[i + 1]]), _pack(owned[edges[i] : edges[i + 1]]), words if i == 0 else 0) for i in range(len(parts))]
+        rows = []
+        for i in range(len(parts)):
+            own = slice(edges[i], edges[i + 1])
+            rows.append((blocks[i], step, buckets[i], _pack_counts(totals[own]), _pack(flags[own]), words if i == 0 else 0))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "step", "bucket", "totals", "owned", "n_distinct"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "step", "bucket", "totals", "flags", "n_distinct"])
 
     return run
 
 
 def scores(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = MAX_DEPTH, min_count: int = MIN_COUNT,
-    min_divergence: float = MIN_DIVERGENCE, strength: float = STRENGTH, bucket_keys: int = BUCKET_KEYS,
+    min_divergence: float = MIN_DIVERGENCE, strength: float = STRENGTH, bucket_keys: int = BUCKET_KEYS, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`.
 
@@ -272,8 +308,8 @@ def scores(
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (fold(doc_id, HOLD_MODULUS) != HELD_OUT).alias("trained"))
     name = f"blocks_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(_blocks, _BLOCK).write.bucketBy(parts, "block").option("compression", "none").saveAsTable(name)
+    parts = 4 * spark.sparkContext.defaultParallelism  # a block is a task's unit, a bucket a few of them
+    rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK).write.bucketBy(parts, "block").option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
     total, training = blocks.agg(F.sum("n_tokens"), F.sum("n_training")).first()
     buckets = max(1, math.ceil((total or 0) / bucket_keys))
@@ -282,9 +318,10 @@ def scores(
     answers = spark.createDataFrame([], _ANSWER)
     for step in range(2 * depth + 1):
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(step, buckets, dict(numbers)), _ASK)
-        answered = asked.groupBy("bucket").applyInArrow(_totals(step), _ANSWER)
+        answered = asked.groupBy("bucket").applyInArrow(_totals(step, min_divergence), _ANSWER)
         # dealt like the blocks, once, for all steps that follow
-        answered.repartition(parts, "block").write.mode("append").bucketBy(parts, "block").option("compression", "none").saveAsTable(kept)
+        with shuffles_removed(spark):
+            answered.repartition(parts, "block").write.mode("append").bucketBy(parts, "block").option("compression", "none").saveAsTable(kept)
         answers = spark.table(kept)
         if step == 0:
             numbers["words"] = float(answers.agg(F.sum("n_distinct")).first()[0] or 0)
