@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: Edges that one file of a round is meant for.
+FILE_EDGES = 250_000
+
 
 def _distinct(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").distinct()
@@ -42,6 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := mark(edges)) != before:
         before = now
-        edges = written(_small_star(_large_star(edges)), "edges")
+        files = max(1, math.ceil(now[0] / FILE_EDGES))
+        edges = written(_small_star(_large_star(edges)).coalesce(files), "edges")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
