@@ -5,10 +5,15 @@ most 1 bit over some two segments, so that one of these is equal and the other h
 to 23 bits, lies within 3 bits of exactly one word of the perfect binary Golay code. If each segment gives the indices
 of all code words within 4 bits (one, or six), then segments at distance 1 share an index. The keys of a fingerprint
 are, for each ordered pair of segments, the first one's bits with an index of the second.
+
+Two bits in 64 are only the nearest of near copies. `similar` goes further out: fingerprints of four words, whose
+segments are paired off and give a key for each pair of their code indices, so that both segments may have two errors
+and often more; what shares a key is verified by the distance that the wanted similarity leads to.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, permutations
 
@@ -27,6 +32,11 @@ MAX_BITS = 2
 #: Up to so many fingerprints with one key are compared with each other; those of larger groups meet at midpoints.
 GROUP = 64
 
+#: Shingles and similarity of near copies, the 64-bit words of their fingerprints, and how many of these verify.
+SIMILAR_WORDS, SIMILARITY, WIDE, VERIFIED = 5, 0.8, 4, 2
+#: Groups up to so many are compared in full; see `similar` for larger ones. Keys that a bucket is meant for.
+FULL_GROUP, BUCKET_KEYS = 1024, 1 << 19
+
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code (fixed value).
 GOLAY = 0b101011100011
@@ -87,25 +97,44 @@ def keys_of(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """A bit is 1 if it is set in over half the hashes of the text's shingles; no words: 0."""
+def _shingle_hashes(text: str, shingle_words: int, seed: int) -> np.ndarray:
     words = text.encode().translate(_LOWER).split()
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
     joined, n = b" ".join(words), len(words) - shingle_words + 1
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     ends = ends[shingle_words - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
+    for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """A bit is 1 if it is set in over half the hashes of the text's shingles; no words: 0."""
+    return _majority(_shingle_hashes(text, shingle_words, seed))
+
+
+def wide_fingerprint(text: str, shingle_words: int = SIMILAR_WORDS, words: int = WIDE, seed: int = SEED) -> list[int]:
+    """`words` words of 64 bits, from as many hashes of each distinct shingle; no words: 0.
+
+    Shingles count once, as they do in Jaccard similarity: else a line that fills half of two texts would make them one.
+    """
+    hashes, out = np.unique(_shingle_hashes(text, shingle_words, seed)), []
+    for i in range(words):
+        x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return out
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
@@ -178,6 +207,128 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     return near.union(met.filter("u <> v"))
 
 
+def _errors(similarity: float, bits: int) -> int:
+    """How many of `bits` bits differ, on average and half a standard deviation more, at a Jaccard similarity."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + 0.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def _wide_keys(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, positions) of fingerprints whose words are given column by column (uint64): segments of the first half of
+    the words are paired with those of the second half."""
+    cut = [[((w >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS] for w in words]
+    halves = [sum(cut[: len(cut) // 2], []), sum(cut[len(cut) // 2 :], [])]
+    keys, rows = [], []
+    for number, (a, b) in enumerate(zip(*halves, strict=True)):
+        (ia, ra), (ib, rb) = code_indices(a), code_indices(b)
+        real = ra[:, :, None] & rb[:, None, :]
+        key = (number << 24) | (ia[:, :, None] << 12) | ib[:, None, :]
+        row, _, _ = np.nonzero(real)
+        keys.append(key[real])
+        rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _bucketed(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in part.columns]
+                keys, rows = _wide_keys(words)
+                bucket = (keys.astype(np.uint64) * _SPREAD >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[b] : edges[b + 1]]
+                    data = np.stack([keys[own].view(np.uint64), *(w[rows[own]] for w in words[:VERIFIED])])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["bucket", "data"])
+
+    return run
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether columns (words, n) differ in `most` bits or fewer."""
+    return np.bitwise_count(a ^ b).sum(0, dtype=np.int64) <= most
+
+
+def _close_pairs(keys: np.ndarray, words: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of verified pairs among rows sorted by key."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    ends = np.repeat(starts + sizes, sizes)
+    small = np.repeat(sizes <= GROUP, sizes)
+    for step in range(1, GROUP):
+        at = np.flatnonzero(small[: max(0, len(keys) - step)] & (np.arange(max(0, len(keys) - step)) + step < ends[: max(0, len(keys) - step)]))
+        if not len(at):
+            break
+        at = at[_near(words[:, at], words[:, at + step], most)]
+        yield at, at + step
+    for start, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist(), strict=True):
+        rows = np.arange(start, start + size)
+        if size <= FULL_GROUP:
+            for i in rows[:-1]:
+                near = rows[i - start + 1 :][_near(words[:, i, None], words[:, i + 1 : start + size], most)]
+                yield np.full(len(near), i), near
+            continue
+        # the members nearest to the group's majority against all, and everyone against its neighbours in each order
+        bits = np.unpackbits(np.ascontiguousarray(words[:, rows].T).astype("<u8").view(np.uint8), axis=1)
+        away = (bits != (2 * bits.sum(0, dtype=np.int64) > size)).sum(1)
+        for i in rows[np.argsort(away, kind="stable")[:GROUP]]:
+            near = rows[_near(words[:, i, None], words[:, rows], most)]
+            yield np.full(len(near), i), near
+        for order in (rows[np.argsort(w[rows], kind="stable")] for w in words):
+            for step in range(1, GROUP):
+                ok = _near(words[:, order[:-step]], words[:, order[step:]], most)
+                yield order[:-step][ok], order[step:][ok]
+
+
+def _similar_in_bucket(most: int):
+    def run(table: pa.Table) -> pa.Table:
+        data = np.concatenate([np.frombuffer(b, np.uint64).reshape(1 + VERIFIED, -1) for b in table["data"].to_pylist()], axis=1)
+        order = np.argsort(data[0], kind="stable")
+        keys, words = data[0][order], np.ascontiguousarray(data[1:, order])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for a, b in _close_pairs(keys, words, most):
+            pairs = np.unique(np.stack([words[0][a], words[0][b]]), axis=1)
+            for x, y in pairs.T.tolist():
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        found = [(x, root(x)) for x in parent if root(x) != x]
+        u, v = (np.array(c, np.uint64).view(np.int64) for c in (zip(*found, strict=True) if found else ((), ())))
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    return run
+
+
+#: An odd constant that spreads keys over buckets (fixed value, 2**64 divided by the golden ratio).
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def similar(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (u, v) between first words of fingerprints w0, w1, ... whose distance speaks for the similarity.
+
+    Keys are paired code indices, so two fingerprints meet with a chance that rises with their similarity (about nine
+    in ten at 0.8, nearly always at 0.9); the distance is taken over the first VERIFIED words. A group of more than
+    FULL_GROUP fingerprints with one key is not compared in full: its members meet those nearest to its majority, as
+    copies meet what they were copied from, and their neighbours in sorted order. Work and memory are in proportion
+    to the keys; only a bucket's spanning edges leave it.
+    """
+    columns = [f"w{i}" for i in range(WIDE)]
+    nodes = wide.groupBy("w0").agg(*(F.min(c).alias(c) for c in columns[1:]))
+    nodes = written(nodes.select(*columns), "wide")
+    buckets = max(1, math.ceil(nodes.count() * 169 / BUCKET_KEYS))
+    dealt = nodes.mapInArrow(_bucketed(buckets), "bucket int, data binary")
+    return dealt.groupBy("bucket").applyInArrow(_similar_in_bucket(_errors(similarity, 64 * VERIFIED)), "u long, v long")
+
+
 def _grouped(marked: DataFrame, first: Column) -> DataFrame:
     """fp, and first: the least of `first` over the component of the fingerprint."""
     groups = written(marked.groupBy("fp").agg(F.min(first).alias("first")), "groups")
@@ -200,12 +351,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with all its columns: that of the smallest doc_id (null last), then of the
-    smallest hash of the text. Rows that repeat its doc_id and text stay with it."""
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group that `similar` links, with all its columns: that of the smallest doc_id (null last),
+    then of the smallest hash of the text. Rows that repeat its doc_id and text stay with it; texts without words are
+    one group.
+
+    Links at MAX_BITS bits, as `near_duplicates` has them, would not do here: they count repeated shingles, so that two
+    texts which share nothing but a line repeated many times are linked, and miss most copies of similarity 0.8.
+    """
     ident, digest = F.col(doc_id).cast("long"), F.xxhash64(text)
     named = docs.select(ident.alias("doc_id"), digest.alias("digest"), F.col(text).alias("text"))
-    marked = written(fingerprints(named, keep=("doc_id", "digest"), **options), "fingerprints")
+    words = [f"w{i}" for i in range(WIDE)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = np.array([wide_fingerprint(t) for t in texts_of(batch)], np.uint64).reshape(-1, WIDE)
+        columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], ["doc_id", "digest", *words])
+
+    marked = written(map_batches(named, run, "doc_id long, digest long, " + ", ".join(f"{w} long" for w in words)), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    kept = _grouped(marked, first).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")).distinct()
+    groups = written(marked.groupBy("w0").agg(F.min(first).alias("first")), "groups")
+    placed = groups.join(components(similar(marked, similarity)).withColumnRenamed("node", "w0"), "w0", "left")
+    found = placed.groupBy(F.coalesce("component", "w0")).agg(F.min("first").alias("first"))
+    kept = found.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")).distinct()
     return docs.join(kept, ident.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
