@@ -127,8 +127,9 @@ def _write(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa
     part, number, held, used = TaskContext.get().partitionId(), 0, [], 0
 
     def close() -> pa.RecordBatch:
-        info = encode(Record("warcinfo", {"WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
         name = f"pages-{part:05d}-{number:05d}.warc.gz"
+        headers = {"WARC-Record-ID": f"<{uuid.uuid5(_SPACE, name).urn}>", "WARC-Date": DATE, "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+        info = encode(Record("warcinfo", headers, b"format: WARC File Format 1.1\r\n"))
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join([info, *held])], pa.binary())], ["archive", "data"])
 
     for batch in batches:
