@@ -7,6 +7,7 @@ The corpus is `documents`, one chunk each, with `embeddings` as vectors of the c
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -605,7 +606,7 @@ def tombstone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in two commits, some removed, merged, compacted and searched."""
-    store = Store(spark, f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='heronry-')}/store-{id(spark)}-{abs(hash(sf_dir))}")
+    store = Store(spark, f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='heronry-')}/store-{uuid.uuid4().hex}")
     docs = _docs(spark, sf_dir).withColumnRenamed("doc_id", "doc_order")
     for lang in ("en", "de"):
         store.writer().add(docs.filter(F.col("lang") == lang).select("doc_order", "source", "text")).commit()
@@ -620,7 +621,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import ingest as streaming
 
     rows = spark.readStream.schema(_docs(spark, sf_dir).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*").withColumn("dedup_key", F.lit(None).cast("string"))
-    name = f"ingested_{abs(hash(sf_dir))}"
+    name = f"ingested_{uuid.uuid4().hex}"
     streaming.first_of_each_hash(rows).groupBy("lang").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
