@@ -59,12 +59,9 @@ def _queries(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> Dat
 
 def _index(spark: SparkSession, sf_dir: str, **options) -> Index:
     meta = F.to_json(F.struct("lang", "source", "n_chars"))
-    return Index.of_texts(_docs(spark, sf_dir), source=F.col("source"), metadata=meta, vectors=_vectors(spark, sf_dir), **options)
-
-
-def _columns() -> dict[str, Column]:
-    """Documents with columns of their own for the metadata need no JSON."""
-    return {"source": F.col("source")}
+    docs = _docs(spark, sf_dir)
+    held = _vectors(spark, sf_dir).join(docs.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    return Index.of_texts(docs, source=F.col("source"), metadata=meta, vectors=held, **options)
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -118,7 +115,7 @@ def _fuse(name: str = "fused", weight: str = "CASE lane_idx WHEN 0 THEN 1.0 ELSE
 
 
 _LANES = "lanes AS (SELECT qid, 0 AS lane_idx, chunk_id, score, rank FROM bm UNION ALL SELECT qid, 1, chunk_id, score, rank FROM vec)"
-_HYBRID = ",\n".join([_CORPUS, _Q, _bm25(), _UNIT, _vec(), _LANES])
+_HYBRID = ",\n".join([_CORPUS, _Q, _bm25(), _UNIT, _vec(where="WHERE chunk_id IN (SELECT doc_id FROM documents)"), _LANES])
 _OUT = "SELECT qid, rank, chunk_id, round(score, 6) AS score FROM"
 
 
