@@ -8,7 +8,7 @@ distribution is its counts smoothed by its suffix's distribution, and a word is
 stands before it that is a state.
 
 No table of the tree is ever held whole. The corpus is cut into blocks of about BLOCK_TOKENS tokens, which stay where
-they were written. For each depth, a block sends its distinct n-grams (64-bit hashes, with their counts in training
+they were written. For each depth, a block sends its distinct n-grams (as hashes, with their counts in training
 rows) to buckets of the hash space, and each bucket answers every block with the corpus-wide counts of just what it
 asked for. What is sent is in proportion to the corpus, every key is pre-aggregated by block, and no bucket can be made
 hot by a frequent word.
@@ -43,7 +43,11 @@ BLOCK_TOKENS = 1 << 20
 #: Keys that a bucket is meant to get.
 BUCKET_KEYS = 2 << 20
 
-_START, _END = (np.uint64(xxhash.xxh64_intdigest(b)) for b in (b" start", b" end"))  # no word has white space
+#: Words and n-grams are told apart by so many bits: of 10**12 of them, one in 70 000 shares its key with another.
+HASH_BITS = 56
+_CUT = np.uint64(64 - HASH_BITS)
+
+_START, _END = (np.uint64(xxhash.xxh64_intdigest(b)) >> _CUT for b in (b" start", b" end"))  # no word has white space
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64 (fixed values)
 
 _BLOCK = "block long, tokens binary, vocabulary binary, lengths binary, training binary, doc_ids binary, n_tokens long, n_training long"
@@ -55,7 +59,7 @@ def _hash_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = context * _MIX[0] + word
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) >> _CUT
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -66,24 +70,39 @@ def _unpack(b: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
+def _pack_planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte: all their first bytes, then all their second ones, of which many are alike."""
+    return _pack(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T))
+
+
+def _unpack_planes(b: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def _pack_counts(a: np.ndarray) -> bytes:
-    """Whole numbers, mostly small, byte by byte."""
-    return _pack(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+    return _pack_planes(a.astype("<u8"))
 
 
 def _unpack_counts(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.float64)
+    return _unpack_planes(b, "<u8").astype(np.float64)
+
+
+def _pack_gains(a: np.ndarray) -> bytes:
+    """Half precision does: a gain is held against a threshold."""
+    return _pack_planes(np.clip(a, -6e4, 6e4).astype("<f2"))
+
+
+def _unpack_gains(b: bytes) -> np.ndarray:
+    return _unpack_planes(b, "<f2").astype(np.float64)
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Rising numbers as their differences, byte by byte: the upper bytes, nearly all zero, take no room."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return _pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T))
+    """Rising numbers as their differences, whose upper bytes are nearly all zero."""
+    return _pack_planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
 def _unpack_sorted(b: bytes) -> np.ndarray:
-    planes = _unpack(b, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_unpack_planes(b, "<u8"), dtype=np.uint64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -98,7 +117,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
     held, serial = 0, itertools.count()
 
     def close() -> pa.RecordBatch:
-        hashes = np.array([_START, _END, *map(xxhash.xxh64_intdigest, number)], np.uint64)
+        hashes = np.array([_START, _END, *(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)) >> _CUT)], np.uint64)
         size, trained = np.array(lengths, np.int64), np.array(training, bool)
         row = {
             "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack(np.concatenate(tokens)), "vocabulary": hashes.tobytes(), "lengths": _pack(size), "training": _pack(trained),
@@ -155,18 +174,22 @@ class _Block:
         self.context = np.where(counts[before] >= self.numbers["min_count"], before, -1)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """The odd steps: the distinct n-grams of contexts that are frequent enough."""
+        """The odd steps: the distinct n-grams of contexts that are frequent enough, with words that are known; of
+        others the count is 0."""
         self.at = np.flatnonzero(self.context >= 0)
-        key = _hash_pair(self.keys[self.context[self.at]], self.vocabulary[self.tokens[self.at]])
+        known = self.known[self.at]
+        asked = self.at[known]
+        key = _hash_pair(self.keys[self.context[asked]], self.vocabulary[self.tokens[asked]])
         order = np.argsort(key)
         key = key[order]
         new = np.append(True, key[1:] != key[:-1])[: len(key)]
-        self.gram = np.empty(len(key), np.int64)
-        self.gram[order] = np.cumsum(new) - 1
+        gram = np.empty(len(key), np.int64)
+        gram[order] = np.cumsum(new) - 1
+        self.gram = np.full(len(self.at), -1)  # the n-gram's place among the distinct ones, -1: not known
+        self.gram[known] = gram
         self.distinct = key[new]
-        self.sample = self.at[order[new]]  # a position of each
-        amounts = np.bincount(self.gram, self.trained[self.at], len(self.distinct))
-        return self.distinct, amounts
+        self.sample = asked[order[new]]  # a position of each
+        return self.distinct, np.bincount(gram, self.trained[asked], len(self.distinct))
 
     def gains(self, step: int) -> tuple[np.ndarray, np.ndarray]:
         """The even steps: by context, what its counts tell more than its suffix, over the n-grams this block owns."""
@@ -189,7 +212,8 @@ class _Block:
         totals, _ = self.answers[step - 1]
         state = np.zeros(len(self.keys), bool)
         state[self.used] = self.answers[step][1]
-        context, n, k = self.context[self.at], totals[self.gram], self.numbers["strength"]
+        n = np.append(totals, 0)[self.gram]
+        context, k = self.context[self.at], self.numbers["strength"]
         here = state[context]
         at = self.at[here]
         longer = np.full(len(self.tokens), -1)
@@ -240,11 +264,11 @@ def _asker(step: int, buckets: int, numbers: dict):
         out = []
         if block.num_rows:
             keys, amounts = _opened(block, answers, numbers).ask(step)
-            # by the upper half of the key, so that buckets in order are keys in order
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            # by the upper bits of the key, so that buckets in order are keys in order
+            bucket = ((keys >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
             edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             name = block["block"][0].as_py()
-            pack = (lambda a: _pack(a.astype(np.float32))) if _asks_states(step) else _pack_counts
+            pack = _pack_gains if _asks_states(step) else _pack_counts
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[b], edges[b + 1])
                 out.append((name, b, _pack_sorted(keys[part]), pack(amounts[part])))
@@ -267,7 +291,7 @@ def _totals(step: int, min_divergence: float):
         asked = asked.sort_by("block")  # sums come out alike in every run
         blocks, buckets = asked["block"].to_pylist(), asked["bucket"].to_pylist()
         parts = [_unpack_sorted(k) for k in asked["keys"].to_pylist()]
-        unpack = (lambda b: _unpack(b, np.float32).astype(np.float64)) if _asks_states(step) else _unpack_counts
+        unpack = _unpack_gains if _asks_states(step) else _unpack_counts
         keys, amounts = np.concatenate(parts), np.concatenate([unpack(a) for a in asked["amounts"].to_pylist()])
         order = np.argsort(keys, kind="stable")
         new = np.append(True, np.diff(keys[order]) != 0)
@@ -302,7 +326,7 @@ def scores(
     count and are scored each; a null doc_id counts as the empty text in the fold. Without training rows every word is
     unknown. An empty table gives no rows.
 
-    Words and n-grams are told apart by 64-bit hashes. Blocks and answers lie in bucketed tables of the warehouse, so
+    Words and n-grams are told apart by HASH_BITS bits. Blocks and answers lie in bucketed tables of the warehouse, so
     that no step shuffles what an earlier one has.
     """
     spark = docs.sparkSession
