@@ -96,6 +96,7 @@ def test_filter_text():
 
 
 def test_typed_filters_reach_the_scan(spark, sf_dir):
+    spark.catalog.clearCache()  # else the plan may read what another test has cached
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = docs.filter(filters.predicate(Range("n_chars", 10, 20), columns={"n_chars": F.col("n_chars")}))._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(n_chars,10" in plan
