@@ -20,11 +20,11 @@ K1_GRID, B_GRID = (1.0, 1.2, 1.5, 2.0), (0.3, 0.5, 0.75, 0.9)
 CENTRE = (1.2, 0.75)
 
 
-def metrics(hits: DataFrame, judgments: DataFrame, k: int = 10, threshold: int = 1, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+def metrics(hits: DataFrame, judgments: DataFrame, k: int = 10, threshold: int = 1, by: tuple[str, ...] = ("qid",), cells: DataFrame | None = None) -> DataFrame:
     """(qid, recall, mrr, ndcg): hits (qid, source, rank) against judgments (qid, source, grade), for judged queries.
 
     A source that was found more than once counts by its best rank. `by` may name more columns of the hits, such as a
-    grid cell; each is then evaluated for itself.
+    grid cell; each is then evaluated for itself. `cells` lists them, so that they need not be looked for in the hits.
     """
     graded = judgments.groupBy("qid", "source").agg(F.max("grade").alias("grade"))
     gain = (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("place") + 1)
@@ -45,7 +45,7 @@ def metrics(hits: DataFrame, judgments: DataFrame, k: int = 10, threshold: int =
         )
     )
     others = [c for c in by if c != "qid"]
-    every = ideal.crossJoin(hits.select(*others).distinct()) if others else ideal
+    every = ideal.crossJoin(hits.select(*others).distinct() if cells is None else cells) if others else ideal
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return every.join(found, list(by), "left").select(
         *by,
@@ -85,11 +85,16 @@ def sign_test(better: int, worse: int) -> float:
 
 
 def bm25_grid(queries: DataFrame, posted: DataFrame, lengths: DataFrame, k: int = 10, k1s: tuple[float, ...] = K1_GRID, bs: tuple[float, ...] = B_GRID) -> DataFrame:
-    """BM25 hits of every (k1, b) in one pass over the postings: (k1, b, qid, chunk_id, score, rank)."""
-    cells = F.explode(F.array(*(F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b")) for k1 in k1s for b in bs)))
-    hits = matched(query_terms(queries), posted, lengths).withColumn("cell", cells).select("*", "cell.*").drop("cell")
-    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("k1"), F.col("b"))
-    return ranked(hits.groupBy("k1", "b", "qid", "chunk_id").agg(F.sum(part).alias("score")), k, ("k1", "b", "qid"))
+    """BM25 hits of every (k1, b) in one pass over the postings: (k1, b, qid, chunk_id, score, rank).
+
+    Each cell is a sum of its own over the same rows; rows multiply only after these are added up.
+    """
+    cells = [(k1, b) for k1 in k1s for b in bs]
+    share = F.col("qtf") * idf(F.col("n"), F.col("df"))
+    sums = [F.sum(share * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias(f"s{i}") for i, (k1, b) in enumerate(cells)]
+    scored = matched(query_terms(queries), posted, lengths).groupBy("qid", "chunk_id").agg(*sums)
+    each = F.explode(F.array(*(F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(f"s{i}").alias("score")) for i, (k1, b) in enumerate(cells))))
+    return ranked(scored.select("qid", "chunk_id", each.alias("cell")).select("cell.k1", "cell.b", "qid", "chunk_id", "cell.score"), k, ("k1", "b", "qid"))
 
 
 def best_cell(cells: DataFrame) -> DataFrame:

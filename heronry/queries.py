@@ -696,7 +696,8 @@ def paired_sign_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _index(spark, sf_dir)
     hits = evaluate.bm25_grid(_queries(spark, sf_dir, False), i.postings, i.lengths)
-    cells = evaluate.metrics(_judged_hits(hits), _judgments(spark, sf_dir), by=("k1", "b", "qid"))
+    grid = spark.createDataFrame([(k1, b) for k1 in evaluate.K1_GRID for b in evaluate.B_GRID], "k1 double, b double")
+    cells = evaluate.metrics(_judged_hits(hits), _judgments(spark, sf_dir), by=("k1", "b", "qid"), cells=grid)
     return _six(cells.groupBy("k1", "b").agg(*(F.avg(m).alias(m) for m in ("recall", "mrr", "ndcg"))), "recall", "mrr", "ndcg")
 
 
