@@ -34,8 +34,8 @@ GROUP = 64
 
 #: Shingles and similarity of near copies, the 64-bit words of their fingerprints, and how many of these verify.
 SIMILAR_WORDS, SIMILARITY, WIDE, VERIFIED = 5, 0.8, 4, 2
-#: Groups up to so many are compared in full; see `similar` for larger ones. Keys that a bucket is meant for.
-FULL_GROUP, BUCKET_KEYS = 1024, 1 << 19
+#: Keys that a bucket is meant for.
+BUCKET_KEYS = 1 << 19
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code (fixed value).
@@ -266,21 +266,9 @@ def _close_pairs(keys: np.ndarray, words: np.ndarray, most: int) -> Iterator[tup
         yield at, at + step
     for start, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist(), strict=True):
         rows = np.arange(start, start + size)
-        if size <= FULL_GROUP:
-            for i in rows[:-1]:
-                near = rows[i - start + 1 :][_near(words[:, i, None], words[:, i + 1 : start + size], most)]
-                yield np.full(len(near), i), near
-            continue
-        # the members nearest to the group's majority against all, and everyone against its neighbours in each order
-        bits = np.unpackbits(np.ascontiguousarray(words[:, rows].T).astype("<u8").view(np.uint8), axis=1)
-        away = (bits != (2 * bits.sum(0, dtype=np.int64) > size)).sum(1)
-        for i in rows[np.argsort(away, kind="stable")[:GROUP]]:
-            near = rows[_near(words[:, i, None], words[:, rows], most)]
+        for i in rows[:-1]:
+            near = rows[i - start + 1 :][_near(words[:, i, None], words[:, i + 1 : start + size], most)]
             yield np.full(len(near), i), near
-        for order in (rows[np.argsort(w[rows], kind="stable")] for w in words):
-            for step in range(1, GROUP):
-                ok = _near(words[:, order[:-step]], words[:, order[step:]], most)
-                yield order[:-step][ok], order[step:][ok]
 
 
 def _similar_in_bucket(most: int):
@@ -316,10 +304,8 @@ def similar(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (u, v) between first words of fingerprints w0, w1, ... whose distance speaks for the similarity.
 
     Keys are paired code indices, so two fingerprints meet with a chance that rises with their similarity (about nine
-    in ten at 0.8, nearly always at 0.9); the distance is taken over the first VERIFIED words. A group of more than
-    FULL_GROUP fingerprints with one key is not compared in full: its members meet those nearest to its majority, as
-    copies meet what they were copied from, and their neighbours in sorted order. Work and memory are in proportion
-    to the keys; only a bucket's spanning edges leave it.
+    in ten at 0.8, nearly always at 0.9); the distance is taken over the first VERIFIED words. All fingerprints with
+    one key are compared, so work grows with the square of such a group; only a bucket's spanning edges leave it.
     """
     columns = [f"w{i}" for i in range(WIDE)]
     nodes = wide.groupBy("w0").agg(*(F.min(c).alias(c) for c in columns[1:]))

@@ -1,0 +1,19 @@
+"""Groups of any size that share one key are compared in full."""
+
+import numpy as np
+
+from heronry.llm import simhash
+
+
+def test_clusters_that_share_one_key():
+    r = np.random.default_rng(8)
+    centres = r.integers(0, 2**63, (2, 40), dtype=np.uint64)
+    words = np.repeat(centres, 40, axis=1)  # 1600 fingerprints in 40 clusters, of which none is the majority
+    for _ in range(7):
+        words ^= np.uint64(1) << r.integers(0, 64, words.shape, dtype=np.uint64)
+    words = words[:, r.permutation(1600)]
+    found = set()
+    for a, b in simhash._close_pairs(np.zeros(1600, np.uint64), words, 21):
+        found |= {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True) if p[0] != p[1]}
+    near = np.bitwise_count(words[:, :, None] ^ words[:, None, :]).sum(0, dtype=int) <= 21
+    assert found == {tuple(p) for p in np.argwhere(np.triu(near, 1)).tolist()}
