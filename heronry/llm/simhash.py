@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, map_batches, texts_of, written
 from .graph import components
+from .resemblance import alike
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -338,26 +339,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group that `similar` links, with all its columns: that of the smallest doc_id (null last),
-    then of the smallest hash of the text. Rows that repeat its doc_id and text stay with it; texts without words are
-    one group.
+    """One document of each group that pairs of the Jaccard similarity lead to (distinct shingles of SIMILAR_WORDS words),
+    with all its columns: that of the smallest doc_id (null last), then of the smallest hash of the text. Rows that
+    repeat its doc_id and text stay with it; texts without words are one group.
 
-    Links at MAX_BITS bits, as `near_duplicates` has them, would not do here: they count repeated shingles, so that two
-    texts which share nothing but a line repeated many times are linked, and miss most copies of similarity 0.8.
+    Every pair of the similarity is found and none below it is linked, see `resemblance`. Fingerprints would not do: a
+    distance lets through some pairs of any similarity near the wanted one, and misses some.
     """
     ident, digest = F.col(doc_id).cast("long"), F.xxhash64(text)
     named = docs.select(ident.alias("doc_id"), digest.alias("digest"), F.col(text).alias("text"))
-    words = [f"w{i}" for i in range(WIDE)]
+
+    def sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (np.unique(_shingle_hashes(t, SIMILAR_WORDS, SEED)) for t in texts_of(batch))
+
+    def name(members: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(members.tobytes(), SEED)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = np.array([wide_fingerprint(t) for t in texts_of(batch)], np.uint64).reshape(-1, WIDE)
-        columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], ["doc_id", "digest", *words])
+        found = np.array([(name(s), len(s)) for s in sets(batch)], np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["doc_id", "digest", "node", "n"])
 
-    marked = written(map_batches(named, run, "doc_id long, digest long, " + ", ".join(f"{w} long" for w in words)), "fingerprints")
+    marked = written(map_batches(named, run, "doc_id long, digest long, node long, n long"), "sets-named")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    groups = written(marked.groupBy("w0").agg(F.min(first).alias("first")), "groups")
-    placed = groups.join(components(similar(marked, similarity)).withColumnRenamed("node", "w0"), "w0", "left")
-    found = placed.groupBy(F.coalesce("component", "w0")).agg(F.min("first").alias("first"))
+    groups = written(marked.groupBy("node").agg(F.min(first).alias("first")), "groups")
+    placed = groups.join(components(alike(named.select("digest", "text"), marked, sets, name, similarity)), "node", "left")
+    found = placed.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
     kept = found.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")).distinct()
     return docs.join(kept, ident.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
