@@ -2,8 +2,8 @@
 
 A worklist holds the layers of a text: the text itself, and what its URL escapes, Unicode escapes, base64 runs and
 compressed runs unwrap to. Each layer is scanned and may unwrap to further ones, until nothing new comes; a layer that
-was seen before in the same text is not entered again. Every code point of a layer knows the span of the original
-text that it comes from.
+was seen before with the same places in the original is not entered again. Every code point of a layer knows the span
+of the original text that it comes from.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +51,12 @@ class Layer:
     def span(self, start: int, end: int) -> tuple[int, int]:
         return self.whole or (self.starts[start], self.ends[end - 1])
 
+    def key(self) -> bytes:
+        """Tells layers apart by their text and where it comes from."""
+        seen = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        seen.update(repr(self.whole).encode() if self.whole else array("q", [*self.starts, *self.ends]).tobytes())
+        return seen.digest()
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets in plain sight."""
@@ -171,12 +178,12 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
     found = set(base)
-    seen = {text}
+    seen = set()
     todo = [Layer(text, range(len(text)), range(1, len(text) + 1))]
     while todo:
         for child in _unwrap(todo.pop()):
-            if child.text not in seen:
-                seen.add(child.text)
+            if (key := child.key()) not in seen:
+                seen.add(key)
                 found.update((kind, *child.span(a, b)) for kind, a, b in base_spans(child.text))
                 todo.append(child)
     return base, sorted(found, key=order)
