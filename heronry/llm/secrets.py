@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, texts_of
 
 KINDS = ("assign", "access", "hex")
-#: What a compressed run may unwrap to, so that no run can fill an executor's memory; more is not a text.
+#: What a compressed run unwraps to at a time, so that no run can fill an executor's memory; pieces overlap by half.
 MAX_UNPACKED = 64 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -36,6 +37,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_MORE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})")
 _SAFE = str.maketrans("-_", "+/")
 
 
@@ -70,24 +72,75 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _unpacked(data: bytes) -> str | None:
-    """The text of gzip or zlib data, or None."""
-    if not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
+def _inflated(data: bytes, most: int) -> Iterator[bytes]:
+    """What gzip (all members) or zlib data unwrap to, in parts; it ends where the data do, or break."""
+    while data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
         worker = zlib.decompressobj(47)
-        out = worker.decompress(data, MAX_UNPACKED)
-    except zlib.error:
-        return None
-    return _text(out) if worker.eof else None
+        while data and not worker.eof:
+            try:
+                out = worker.decompress(data, most)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            elif not worker.unconsumed_tail:
+                break
+            data = worker.unconsumed_tail
+        data = worker.unused_data
+
+
+def _unpacked(data: bytes) -> Iterator[str]:
+    """The text of gzip or zlib data, in pieces of MAX_UNPACKED bytes that overlap by half; nothing if it is not UTF-8."""
+    half = max(1, MAX_UNPACKED // 2)
+    decoder, before, held, size = codecs.getincrementaldecoder("utf-8")(), "", [], 0
+    for out in _inflated(data, half):
+        try:
+            held.append(decoder.decode(out))
+        except UnicodeDecodeError:
+            break
+        size += len(out)
+        if size >= half:
+            piece = "".join(held)
+            yield before + piece
+            before, held, size = piece, [], 0
+    if any(held):
+        yield before + "".join(held)
 
 
 def _text(data: bytes) -> str | None:
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text.translate({9: None, 10: None, 13: None}).isprintable() else None
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, digits) of base64: runs within a line, and runs joined over line breaks.
+
+    Which lines belong together is not known: each stretch of lines of one width is tried, with and without the line
+    before it, which may begin after other text, and the line after it if that is shorter; so are all lines at once.
+    """
+    done = -1
+    for m in _BASE64.finditer(text):
+        yield *m.span(), m[0].rstrip("=")
+        if m.start() < done:
+            continue
+        lines = [m.span()]
+        while not text[lines[-1][0] : lines[-1][1]].endswith("=") and (more := _MORE.match(text, lines[-1][1])):
+            lines.append(more.span(1))
+        done = lines[-1][1]
+        if len(lines) == 1:
+            continue
+        parts = [text[a:b].rstrip("=") for a, b in lines]
+        widths, tried = [len(p) for p in parts], {(0, len(lines))}
+        first = 0
+        for at in range(1, len(lines) + 1):
+            if at == len(lines) or widths[at] != widths[first]:
+                shorter = at < len(lines) and widths[at] < widths[first]
+                tried |= {(a, b) for a in (max(0, first - 1), first) for b in (at, at + shorter) if b - a > 1}
+                first = at
+        for a, b in sorted(tried):
+            yield lines[a][0], lines[b - 1][1], "".join(parts[a:b])
 
 
 def _lines(text: str, matches: Iterator[re.Match]) -> Iterator[tuple[int, int, list[re.Match]]]:
@@ -141,7 +194,7 @@ def _unwrap(layer: Layer) -> Iterator[Layer]:
                 data = bytes.fromhex(m[0].replace("%", ""))
                 if (new := _text(data)) is not None:
                     parts.append((*m.span(), new, 3))
-                elif (new := _unpacked(data)) is not None:
+                for new in _unpacked(data):
                     yield Layer(new, whole=layer.span(*m.span()))
             if parts:
                 yield _replaced(layer, start, end, parts)
@@ -159,18 +212,17 @@ def _unwrap(layer: Layer) -> Iterator[Layer]:
                     parts.append((*m.span(), chr(code), 0))
             if parts:
                 yield _replaced(layer, start, end, parts)
-    for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
+    for start, end, run in _runs(text):
         if len(run) % 4 == 1:
             continue
         try:
             data = base64.b64decode(run.translate(_SAFE) + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        new = _unpacked(data)
-        new = _text(data) if new is None else new
-        if new:
-            yield Layer(new, whole=layer.span(*m.span()))
+        for new in _unpacked(data):
+            yield Layer(new, whole=layer.span(start, end))
+        if new := _text(data):
+            yield Layer(new, whole=layer.span(start, end))
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -179,13 +231,14 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     base = sorted(base_spans(text), key=order)
     found = set(base)
     seen = set()
-    todo = [Layer(text, range(len(text)), range(1, len(text) + 1))]
-    while todo:
-        for child in _unwrap(todo.pop()):
-            if (key := child.key()) not in seen:
-                seen.add(key)
-                found.update((kind, *child.span(a, b)) for kind, a, b in base_spans(child.text))
-                todo.append(child)
+    todo = [_unwrap(Layer(text, range(len(text)), range(1, len(text) + 1)))]
+    while todo:  # the layers that lead to one at a time, so that not all pieces of a large one are held
+        if (child := next(todo[-1], None)) is None:
+            todo.pop()
+        elif (key := child.key()) not in seen:
+            seen.add(key)
+            found.update((kind, *child.span(a, b)) for kind, a, b in base_spans(child.text))
+            todo.append(_unwrap(child))
     return base, sorted(found, key=order)
 
 

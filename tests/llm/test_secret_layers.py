@@ -23,3 +23,30 @@ def test_repeated_runs(wrap):
     run = WRAPS[wrap](f"see {KEY}, ok")
     places = found(f"{run} and\n{run}", "access")
     assert {a < len(run) for a, _ in places} == {True, False}
+
+
+@pytest.mark.parametrize("odd", ["\u00a0", "\ufeff", "\u200b", "\u200d", "\u00ad", "\f", "\0"])
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_odd_characters(wrap, odd):
+    assert found(f"x {WRAPS[wrap](f'a{odd}b {KEY} c')} y", "access")
+
+
+@pytest.mark.parametrize("before", ["", "data: ", "-----BEGIN CERTIFICATE-----\n", "averylongwordinfront\n"])
+@pytest.mark.parametrize("after", ["", "\n-----END", "\nNext words", " tail"])
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("pack", [gzip.compress, bytes])
+def test_wrapped_base64(pack, newline, after, before):
+    prose = " ".join(f"word{i * i % 97}" for i in range(60))
+    data = base64.b64encode(pack(f"{'x' * (48 - 4)} {KEY}, {prose}".encode())).decode()  # across the first 57 bytes
+    text = before + newline.join(data[i : i + 76] for i in range(0, len(data), 76)) + after
+    start = len(before)
+    assert any(a <= start + 60 and b >= start + 90 for a, b in found(text, "access"))
+
+
+def test_oversized_layers(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_UNPACKED", 1000)
+    for at in (0, 490, 995, 1500, 5000, 9980):
+        body = "é" * (at // 2) + f" {KEY} " + "z" * (10_000 - at)
+        assert found(base64.b64encode(gzip.compress(body.encode())).decode(), "access")
+    twice = gzip.compress(b"first") + gzip.compress(KEY.encode())
+    assert found(base64.b64encode(twice).decode(), "access")
