@@ -605,8 +605,9 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in two commits, some removed, merged, compacted and searched."""
     store = Store(spark, f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='heronry-')}/store-{uuid.uuid4().hex}")
     docs = _docs(spark, sf_dir).withColumnRenamed("doc_id", "doc_order")
-    for lang in ("en", "de"):
-        store.writer().add(docs.filter(F.col("lang") == lang).select("doc_order", "source", "text")).commit()
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (english, ~english):
+        store.writer().add(docs.filter(part).select("doc_order", "source", "text")).commit()
     store.writer().remove(store.view().docs.select("doc_id").filter("doc_id % 10 = 0")).commit()
     store.compact()
     return store.view().counters()
