@@ -43,13 +43,13 @@ class Analyzer(Protocol):
 
 
 def nfkc(column: Column) -> Column:
-    """Compatibility normalisation; Spark has no built-in for it."""
+    """Compatibility normalisation; Spark has no built-in for it. ASCII texts stay as they are, without Python."""
 
     def normalized(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return F.pandas_udf(normalized, "string")(column)
+    return F.coalesce(F.pandas_udf(normalized, "string")(F.when(column.rlike(r"[^\x00-\x7F]"), column)), column)
 
 
 def latin_terms(text: Column) -> Column:
@@ -73,12 +73,13 @@ class StandardAnalyzer:
     """Lower-case terms without stop words and over-long terms.
 
     Ideographic runs become character pairs, as no dictionary is at hand; the longer expression runs only for texts
-    that hold such characters. With `normalize`, NFKC comes first, which takes a Python function.
+    that hold such characters. NFKC comes first, which takes a Python function for texts that are not ASCII, unless
+    `normalize` is false.
     """
 
     stop_words: tuple[str, ...] = STOP_WORDS
     max_term: int = MAX_TERM
-    normalize: bool = False
+    normalize: bool = True
 
     @property
     def id(self) -> str:
