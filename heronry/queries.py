@@ -231,7 +231,7 @@ def allowed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'k' AS field, count(DISTINCT json_extract_string(props, '$.k')) > 1024 AS degraded FROM events")
 def field_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _table(spark, sf_dir, "events").select(filters.json_text(F.col("props"), "k").alias("v")).distinct().limit(filters.MAX_KEYS + 1)
+    values = _table(spark, sf_dir, "events").select(filters.json_text(F.col("props"), "k").alias("v")).filter("v is not null").distinct().limit(filters.MAX_KEYS + 1)
     return values.agg(F.lit("k").alias("field"), (F.count("v") > filters.MAX_KEYS).alias("degraded"))
 
 
