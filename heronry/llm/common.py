@@ -11,6 +11,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,12 +35,35 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it is made of."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be unlike any column of `docs`."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one if all
+    run on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="heronry-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,6 +87,35 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+#: Of each `removed_after` that is open: the folders written within.
+_open: list[list[str]] = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written within is deleted at the end, but for the tables that the given function was called with."""
+    _open.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.__dict__["written_to"])
+        return df
+
+    try:
+        yield keep
+    finally:
+        paths = _open.pop()
+        if _open:
+            _open[-1] += kept
+        for path in set(paths) - set(kept):
+            removed(spark, path)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: later steps neither recompute it nor lose it with
     an executor."""
@@ -70,10 +123,14 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with shuffles_removed(spark):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.__dict__["written_to"] = path
+    return back
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """One Arrow batch in, one out, without keeping any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

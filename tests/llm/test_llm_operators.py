@@ -335,20 +335,6 @@ def test_large_groups_are_linked(spark):
     assert len(simhash.representatives(frame(spark, texts)).collect()) <= 15
 
 
-def test_close_pairs_are_all_found(monkeypatch):
-    r = np.random.default_rng(3)
-    words = r.integers(0, 2**63, (2, 300), dtype=np.uint64)
-    words[:, 100:200] = words[:, :100] ^ np.uint64(5)
-    keys = np.sort(r.integers(0, 12, 300))
-    for group in (4, 64):
-        monkeypatch.setattr(simhash, "GROUP", group)
-        found = set()
-        for a, b in simhash._close_pairs(keys, words, 21):
-            found |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True) if p[0] != p[1]}
-        near = np.bitwise_count(words[:, :, None] ^ words[:, None, :]).sum(0, dtype=int) <= 21
-        assert found == {(i, j) for i in range(300) for j in range(i + 1, 300) if keys[i] == keys[j] and near[i, j]}
-
-
 # 5
 
 
@@ -628,8 +614,8 @@ def test_toxicity(spark, sf_dir, odd):
     assert len(found) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found.values())
     held = [(found[r.doc_id].score, r.toxic) for r in labels.collect() if r.doc_id in found and found[r.doc_id].held_out]
     good, bad = [s for s, t in held if not t], [s for s, t in held if t]
-    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) > 0.75
-    assert sum(s >= 0.7 for s in good) <= 0.01 * len(good) and sum(s >= 0.7 for s in bad) >= 0.4 * len(bad)
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) > 0.95
+    assert sum(s >= 0.7 for s in good) <= 0.01 * len(good) and sum(s >= 0.7 for s in bad) >= 0.9 * len(bad)
     model_free = toxicity.score(odd, labels).collect()
     assert len(model_free) == len(ODD) and len({r.score for r in model_free if r.doc_id in (0, 1)}) == 1
     kept = toxicity.clean(docs, labels)
@@ -648,9 +634,59 @@ def test_toxicity_odd_labels(spark, odd):
 def test_disguised_insults():
     at = toxicity.FEATURES.index("disguised_log")
     for text in ("you 1d10t", "what an id!ot", "i d i o t", "m.o.r.o.n", "st*upid"):
-        assert toxicity.features(text)[at] > 0
+        assert toxicity.features(text, toxicity.Lexicon())[at] > 0
     for text in ("idiot", "model 3a", "a b c d", "v1.2 x86"):
-        assert toxicity.features(text)[at] == 0
+        assert toxicity.features(text, toxicity.Lexicon())[at] == 0
+    assert toxicity.features("you sc0bb and s c o b b", toxicity.Lexicon({"scob": 5.0}))[at] > 0
+
+
+def plain_toxicity(docs, labels):
+    """doc_id -> score, by a trainer and a scorer that hold everything in lists."""
+    toxic_ids, known = {d for d, t in labels if t}, {d for d, _ in labels}
+    by_text = {}
+    for d, t in docs:
+        if d in known and zlib.crc32(str(d).encode()) % 3 != 1:
+            by_text[t] = max(by_text.get(t, 0), int(d in toxic_ids))
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)  # noqa: E731 - as the engine's xxhash64
+    signed = lambda n: n - (n >> 63 << 64)
+    # xxhash64(digest, "part"): the text's hash is seeded by that of the number
+    part = {t: signed(xxhash.xxh64_intdigest(b"part", xxhash.xxh64_intdigest(digest(t).to_bytes(8, "little"), 42))) % toxicity.PARTS for t in by_text}
+    found = {t: {w[:n] for w in re.findall(r"[^\W\d_]+", t.lower()) for n in toxicity.STEMS if n <= len(w)} for t in by_text}
+
+    def weights(texts):
+        have, lack, n1 = Counter(), Counter(), sum(by_text[t] for t in texts)
+        for t in texts:
+            (have if by_text[t] else lack).update(found[t])
+        p0, out = n1 / len(texts), {}
+        for w, a in have.items():
+            b = lack[w]
+            share = a / (a + b)
+            nats = a * math.log(share / p0) + (b * math.log((1 - share) / (1 - p0)) if b else 0)
+            weight = math.log((a + 4 * p0) / (b + 4 * (1 - p0))) - math.log(p0 / (1 - p0))
+            if a >= toxicity.MIN_TEXTS and share > p0 and nats >= toxicity.MIN_EVIDENCE and weight >= toxicity.LEAST:
+                out[w] = weight
+        return toxicity.Lexicon(out)
+
+    others = [weights([t for t in by_text if part[t] != k]) for k in range(toxicity.PARTS)]
+    order = sorted(by_text, key=lambda t: signed(digest(t)))
+    x = np.array([toxicity.features(t, others[part[t]]) for t in order])
+    model = toxicity.fit(x, np.array([float(by_text[t]) for t in order]), np.array([digest(t) >> 7 & 3 for t in order]))
+    whole = weights(order)
+    return {d: float(model.scores(np.array([toxicity.features(t, whole)]))[0]) for d, t in docs}
+
+
+def test_toxicity_against_a_plain_trainer(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    expected = plain_toxicity(rows_of(docs), [(r.doc_id, r.toxic) for r in labels.collect()])
+    found = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert found == pytest.approx(expected, abs=1e-9)
+
+
+def test_the_lexicon_is_what_labels_tell():
+    names = ["bad", "even", "rare", "good"]
+    found = toxicity.lexicon(names, np.array([30.0, 10, 4, 0]), np.array([0.0, 90, 0, 50]), (100.0, 900.0))
+    assert list(found.stems) == ["bad"] and found.weight("badly") == found.weight("bad") > 4 and found.weight("good") == 0
+    assert not toxicity.lexicon(names, np.ones(4), np.ones(4), (0.0, 5.0)).stems
 
 
 def test_isotonic():
