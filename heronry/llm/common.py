@@ -130,15 +130,19 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return back
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """One Arrow batch in, one out, without keeping any."""
+def map_streams(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow for columns of any names."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        return fn(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
-    return df.mapInArrow(run, schema)
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """One Arrow batch in, one out, without keeping any."""
+    return map_streams(df, lambda batches: (fn(batch) for batch in batches if batch.num_rows), schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text", rows: int = 256) -> Iterator[str]:

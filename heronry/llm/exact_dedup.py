@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, map_batches, texts_of, written
+from .common import WHITE, columns, fresh, map_batches, quoted, texts_of, written
 
 #: Bytes of text that one trie may hold before its largest subtree goes to disk.
 TRIE_BYTES = 96 << 20
@@ -30,19 +30,27 @@ FOLD_BYTES = 32 << 20
 
 @dataclass(slots=True)
 class Group:
-    """Equal texts: the row that stays (most code points, then smallest identifier, null last) and their number."""
+    """Equal texts: the row that stays (most code points, then smallest identifier, null last, then smallest hash of the
+    text as it was) and their number."""
 
     points: int
     owner: int | None
     size: int
+    text: int = 0
 
     def add(self, other: Group) -> None:
-        key = lambda g: (-g.points, g.owner is None, g.owner)
+        key = lambda g: (-g.points, g.owner is None, g.owner or 0, g.text)
         if key(other) < key(self):
-            self.points, self.owner = other.points, other.owner
+            self.points, self.owner, self.text = other.points, other.owner, other.text
         self.size += other.size
 
 
+def _mark(text: bytes) -> int:
+    """What the engine's xxhash64 gives for the text."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (h >> 63 << 64)
+
+
 class _Node:
     __slots__ = ("edges", "group", "file")
 
@@ -169,8 +177,8 @@ def _fold(batches: Iterator[pa.RecordBatch], fold_bytes: int) -> Iterator[pa.Rec
         ids = batch.column(0).to_pylist()
         for at in range(0, len(ids), 256):
             for doc_id, text in zip(ids[at : at + 256], batch.column(1).slice(at, 256).to_pylist(), strict=True):
-                text = text or ""
-                key, group = text.encode().translate(None, WHITE), Group(len(text), doc_id, 1)
+                data = (text or "").encode()
+                key, group = data.translate(None, WHITE), Group(len(text or ""), doc_id, 1, _mark(data))
                 if key in held:
                     held[key].add(group)
                 else:
@@ -193,27 +201,28 @@ def _portions(held: dict[bytes, Group]) -> Iterator[pa.RecordBatch]:
             pa.array([g.points for _, g in part], pa.int64()),
             pa.array([g.owner for _, g in part], pa.int64()),
             pa.array([g.size for _, g in part], pa.int64()),
+            pa.array([g.text for _, g in part], pa.int64()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["length", "hash", "content", "points", "owner", "size"])
+        yield pa.RecordBatch.from_arrays(columns, ["length", "hash", "content", "points", "owner", "size", "mark"])
 
 
 def _own(batches: Iterator[pa.RecordBatch], trie_bytes: int) -> Iterator[pa.RecordBatch]:
     """One partition's trie, read out as a row per distinct text."""
     trie = PatriciaTrie(trie_bytes)
     for batch in batches:
-        points, owners, sizes = (batch.column(i).to_pylist() for i in range(1, 4))
+        points, owners, sizes, marks = (batch.column(i).to_pylist() for i in range(1, 5))
         for at in range(0, batch.num_rows, 256):
             for i, text in enumerate(batch.column(0).slice(at, 256).to_pylist(), at):
-                trie.insert(text, Group(points[i], owners[i], sizes[i]))
+                trie.insert(text, Group(points[i], owners[i], sizes[i], marks[i]))
     rows: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        types = (pa.string(), pa.int64(), pa.int64())
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["text_sha256", "keep_id", "group_size"])
+        return pa.RecordBatch.from_arrays(columns, ["text_sha256", "keep_id", "group_size", "keep_mark"])
 
     for text, group in trie.items():
-        rows.append((hashlib.sha256(text).hexdigest(), group.owner, group.size))
+        rows.append((hashlib.sha256(text).hexdigest(), group.owner, group.size, group.text))
         if len(rows) == 8192:
             yield flush()
             rows = []
@@ -222,39 +231,54 @@ def _own(batches: Iterator[pa.RecordBatch], trie_bytes: int) -> Iterator[pa.Reco
 
 
 def owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold_bytes: int = FOLD_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """text_sha256, keep_id and group_size of every distinct normalised text."""
+    """text_sha256, keep_id, group_size and keep_mark (xxhash64 of the kept row's text) of every distinct normalised text.
+
+    Null counts as the empty text, a null doc_id comes after all others, of rows equal in all that decides the smallest
+    hash of the original text stays. Texts of any length are whole in the tries, which spill beyond `trie_bytes`. An
+    empty table gives no rows.
+    """
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text))
-    folded = rows.mapInArrow(lambda batches: _fold(batches, fold_bytes), "length long, hash long, content binary, points long, owner long, size long")
-    dealt = folded.repartition("length", "hash").select("content", "points", "owner", "size")
-    return dealt.mapInArrow(lambda batches: _own(batches, trie_bytes), "text_sha256 string, keep_id long, group_size long")
+    folded = rows.mapInArrow(lambda batches: _fold(batches, fold_bytes), "length long, hash long, content binary, points long, owner long, size long, mark long")
+    dealt = folded.repartition("length", "hash").select("content", "points", "owner", "size", "mark")
+    return dealt.mapInArrow(lambda batches: _own(batches, trie_bytes), "text_sha256 string, keep_id long, group_size long, keep_mark long")
 
 
 def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out = [hashlib.sha256(t.encode().translate(None, WHITE)).hexdigest() for t in texts_of(batch, "text")]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text_sha256"])
+    digests, marks = [], []
+    for t in texts_of(batch, "text"):
+        data = t.encode()
+        digests.append(hashlib.sha256(data.translate(None, WHITE)).hexdigest())
+        marks.append(_mark(data))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(marks, pa.int64())], ["doc_id", "text_sha256", "mark"])
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`.
 
     Texts are equal when they are identical after all ASCII white space is deleted; null counts as empty, and empty
-    texts form one group. The row with the most code points before that stays, then the smallest doc_id; a null
-    doc_id comes last. Rows that repeat the owner's doc_id and text are all marked as kept. An empty table gives no
-    rows.
+    texts form one group. The row with the most code points before that stays, then the smallest doc_id (null last),
+    then the smallest hash of the text as it was. Rows that repeat the owner's doc_id and text are all marked as kept;
+    rows that share its doc_id alone are not. Texts of any length are compared whole; further columns are not looked
+    at. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = map_batches(rows, _digests, "doc_id long, text_sha256 string")
+    marked = map_batches(rows, _digests, "doc_id long, text_sha256 string, mark long")
     joined = marked.join(written(owners(docs, text, doc_id, **options), "owners"), "text_sha256")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The owner rows of `docs` with all their columns; of rows that repeat doc_id and text, one.
+    """The owner rows of `docs` (see `exact_groups`: nulls, ties and long texts are as there) with all their columns, of
+    whatever names.
 
-    The joined rows lie by (doc_id, digest) already when repeated rows are dropped, so texts are shuffled once.
+    Of rows that repeat doc_id and text one stays: that of the smallest hash over its columns (but maps). They become
+    one in each task before they are shuffled. An empty table gives no rows.
     """
-    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")
-    ident = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null")).alias("__id")
-    keep = written(owners(docs, text, doc_id), "owners").select(ident("keep_id"), F.col("text_sha256").alias("__sha256"))
-    rows = docs.select("*", ident(doc_id), F.sha2(bare.cast("binary"), 256).alias("__sha256"))
-    return rows.join(keep, ["__id", "__sha256"]).dropDuplicates(["__id", "__sha256"]).select(docs.columns)
+    ident, mark, order, whole = fresh(docs, "ident", "mark", "order", "whole")
+    name = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null")).alias(ident)
+    keep = written(owners(docs, text, doc_id), "owners").select(name("keep_id"), F.col("keep_mark").alias(mark))
+    plain = [F.col(quoted(f.name)) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(name(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(mark), F.xxhash64(*plain).alias(order), F.struct(*columns(docs)).alias(whole))
+    one = rows.groupBy(ident, mark).agg(F.min_by(whole, order).alias(whole)).join(keep, [ident, mark])
+    return one.select(*(F.col(whole)[c].alias(c) for c in docs.columns))

@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 The model file compiles into three machines: the normaliser (space and marker rules), the pieces (a trie whose final
-arcs carry the piece and minus its score), and the byte fallback for characters that are no piece. Their composition
-with an input is a lattice over its positions, and the encoding is its shortest path in the tropical semiring.
+arcs carry the piece and its weight), and the byte fallback for characters that are no piece. Their composition with an
+input is a lattice over its positions, and the encoding is its shortest path in the tropical semiring (weights add up
+along a path, the least sum wins).
 
-For a model of merges (BPE) the piece machine has one state per last piece, and an arc leads from piece u to piece v
-only if merging the characters of uv gives u, v again. A sequence of pieces whose neighbours all agree in this way is
-what the merges make of the whole input, so the lattice has a single path and that is the library's encoding.
+For a unigram model an arc weighs minus the piece's score. For a model of merges (BPE) scores are ranks of merges, whose
+sums mean nothing; there the piece machine has a state per last piece, and an arc from piece u to piece v weighs 0 if
+merging the characters of uv gives u, v again, and else infinity. A sequence of pieces whose neighbours all agree in
+this way is what the merges make of the whole input, so the path of weight 0 is the library's encoding.
 
 An input falls apart where no piece can reach across: before a marker that follows another character, and around
 characters that are no piece. These segments repeat, and workers remember their shortest paths.
@@ -15,6 +17,7 @@ characters that are no piece. These segments repeat, and workers remember their
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -23,10 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import map_batches, texts_of
+from .common import fresh, map_batches, map_streams, quoted, texts_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -63,6 +67,44 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             raise ValueError("not a model file")
 
 
+class Normaliser:
+    """The transducer of the space rules: `arcs` gives for a state and an input (a space, another character or the end)
+    what is put out, "" standing for the character itself, and the next state.
+
+    `squeeze` drops spaces at both ends and all but one in between, `dummy` puts a space first unless all is empty, and
+    `escape` writes spaces as markers.
+    """
+
+    BEGIN, SPACE, INSIDE = range(3)
+
+    def __init__(self, squeeze: bool, dummy: bool, escape: bool) -> None:
+        self.squeeze, self.dummy, self.mark = squeeze, dummy, MARK if escape else " "
+        first, here, inside = self.mark * dummy, self.mark, self.INSIDE
+        self.arcs = {(inside, "other"): ("", inside), (inside, "end"): (None, inside), (self.BEGIN, "other"): (first, inside), (self.BEGIN, "end"): (None, inside)}
+        if squeeze:  # a space is put out with the character that follows
+            self.arcs |= {(self.BEGIN, "space"): (None, self.BEGIN), (inside, "space"): (None, self.SPACE)}
+            self.arcs |= {(self.SPACE, "space"): (None, self.SPACE), (self.SPACE, "other"): (here, inside), (self.SPACE, "end"): (None, inside)}
+        else:
+            self.arcs |= {(self.BEGIN, "space"): (first + here, inside), (inside, "space"): (here, inside)}
+
+    def walk(self, text: str) -> str:
+        """The machine, arc by arc."""
+        state, out = self.BEGIN, []
+        for char in text:
+            kind = "space" if char == " " else "other"
+            put, state = self.arcs[state, kind]
+            out.append((put or "") + (char if kind == "other" else ""))
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        """What `walk` gives, by whole-string operations that do the same."""
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if text and self.dummy:
+            text = " " + text
+        return text.replace(" ", self.mark)
+
+
 class Transducer:
     """A model file compiled for encoding and decoding."""
 
@@ -72,7 +114,8 @@ class Transducer:
         trainer = dict(_fields(next((v for n, v in model if n == 2), b"")))
         normalizer = dict(_fields(next((v for n, v in model if n == 3), b"")))
         self.bpe = trainer.get(3, UNIGRAM) == BPE
-        self.dummy, self.squeeze, self.escape = (bool(normalizer.get(n, 1)) for n in (3, 4, 5))
+        self.dummy, squeeze, escape = (bool(normalizer.get(n, 1)) for n in (3, 4, 5))
+        self.normalise = Normaliser(squeeze, self.dummy, escape)
         if trainer.get(3, UNIGRAM) not in (UNIGRAM, BPE) or normalizer.get(2) or trainer.get(24, 0):
             raise ValueError("only unigram and merge models without a character map or markers as suffixes are supported")
         self.pieces: list[str] = []
@@ -105,13 +148,6 @@ class Transducer:
         self.edges: dict[tuple[int, int], list[tuple[str, float, float]] | None] = {}
         self.seen: dict[str, bytes] = {}
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if text and self.dummy:
-            text = " " + text
-        return text.replace(" ", MARK) if self.escape else text
-
     def _merged(self, text: str) -> tuple[list[str], list[list[str]]]:
         """The symbols that merging leaves, and what stood at the left and at the right edge meanwhile: again and again
         the neighbours whose joint piece has the highest score become one, of equal ones the first."""
@@ -165,70 +201,51 @@ class Transducer:
             self.joins[key] = known
         return known
 
-    def path(self, segment: str) -> list[int]:
-        """The pieces of the shortest path through the lattice of one segment."""
-        found = self._single_path(segment) if self.bpe else self._shortest_path(segment)
-        out = []
-        for part in found:
-            piece = self.ids.get(part, self.unknown)
-            if piece == self.unknown and self.bytes:
-                out += [self.bytes[b] for b in part.encode()]
-            else:
-                out.append(piece)
-        return out
+    def fallback(self, part: str) -> list[int]:
+        """The byte machine: the byte pieces of what is no piece, or the unknown piece if the model has none."""
+        return [self.bytes[b] for b in part.encode()] if self.bytes else [self.unknown]
 
-    def _single_path(self, segment: str) -> list[str]:
-        """Of a merge model: every position is reached in one state at most, by the merges of what lies before it."""
-        n, joins = len(segment), self.joins
-        state, back = [None] * (n + 1), [0] * (n + 1)
-        state[0] = -1
+    def path(self, segment: str) -> list[int]:
+        """The pieces of the shortest path through the composition with one segment, of equal ones that which is found
+        first, as in the library's search. A segment of a merge model without a path of finite weight (the neighbours
+        of its pieces would not determine the merges) is merged outright."""
+        n, bpe, joins, scores = len(segment), self.bpe, self.joins, self.scores
+        cost, back, last = [0.0] + [math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
         for start in range(n):
-            last = state[start]
-            if last is None:
-                continue
-            node, end = self.trie, start
-            if segment[start] not in node:
-                state[start + 1], back[start + 1] = -1, start
+            here = cost[start]
+            if here == math.inf:
                 continue
+            node, end, before = self.trie, start, last[start]
+            if segment[start] not in (node if bpe else self.ids) and here + (far := 0.0 if bpe else self.far) < cost[start + 1]:
+                cost[start + 1], back[start + 1], last[start + 1] = here + far, start, -1
             for char in segment[start:]:
                 node = node.get(char)
                 if node is None:
                     break
                 end += 1
                 piece = node.get("")
-                if piece is not None and state[end] is None:
-                    if last >= 0:
-                        known = joins.get(last << 32 | piece)
-                        if not (self._joins(last, piece) if known is None else known):
+                if piece is None or (total := here if bpe else here - scores[piece]) >= cost[end]:
+                    continue
+                if bpe:
+                    if before >= 0:
+                        known = joins.get(before << 32 | piece)
+                        if not (self._joins(before, piece) if known is None else known):
                             continue
                     elif self._edge(piece, 0) is None:
                         continue
-                    state[end], back[end] = piece, start
-        if state[n] is None:
-            raise ValueError("no path: the neighbours of this model's pieces do not determine its merges")
-        out = []
+                cost[end], back[end], last[end] = total, start, piece
+        parts = []
+        if cost[n] == math.inf:
+            parts = self._merged(segment)[0][::-1]
+            n = 0
         while n > 0:
-            out.append(segment[back[n] : n])
+            parts.append(segment[back[n] : n])
             n = back[n]
-        return out[::-1]
-
-    def _shortest_path(self, segment: str) -> list[str]:
-        """Of a unigram model: the path of least cost, of equal ones that which the library's search finds first."""
-        n = len(segment)
-        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for start in range(n):
-            node, end = self.trie, start
-            if segment[start] not in self.ids and cost[start] + self.far < cost[start + 1]:
-                cost[start + 1], back[start + 1] = cost[start] + self.far, start
-            while end < n and (node := node.get(segment[end])) is not None:
-                end += 1
-                if "" in node and cost[start] - self.scores[node[""]] < cost[end]:
-                    cost[end], back[end] = cost[start] - self.scores[node[""]], start
         out = []
-        while n > 0:
-            out.append(segment[back[n] : n])
-            n = back[n]
-        return out[::-1]
+        for part in reversed(parts):
+            piece = self.ids.get(part)
+            out += self.fallback(part) if piece is None else [piece]
+        return out
 
     def _remember(self, segment: str) -> bytes:
         ids = np.array(self.path(segment), np.int32).tobytes()
@@ -264,15 +281,23 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def _with(df: DataFrame, keep: tuple[str, ...], column: Column) -> tuple[DataFrame, str]:
+    """The columns to keep and last another one, with a name of its own."""
+    kept = df.select(*(F.col(quoted(c)) for c in keep))
+    (name,) = fresh(kept, "content")
+    return df.select(*(F.col(quoted(c)) for c in keep), column.alias(name)), name
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns with n_pieces, ids (array<int>), ids_sha256 (of the ids as little-endian 32-bit numbers) and
-    round_trip: whether decoding gives the text back.
+    round_trip: whether decoding gives the text back. Columns to keep may have any names but these four.
 
-    Null and empty texts have no pieces. A text with U+2581 does not round-trip, since that is the marker. Rows are
-    independent; an empty table gives no rows. `model` is the path of the model file on the executors.
+    Null and empty texts have no pieces. A text with U+2581 does not round-trip, since that is the marker. Texts of any
+    length are encoded whole. Rows are independent, repeated ones too; an empty table gives no rows. `model` is the path
+    of the model file on the executors.
     """
-    kept = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    kept, body = _with(docs, keep, docs[quoted(text)])
+    schema = StructType(kept.schema.fields[:-1]).add("n_pieces", "long").add("ids", ArrayType(IntegerType())).add("ids_sha256", "string").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
@@ -280,7 +305,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
             for at in range(0, batch.num_rows, 512):  # ids take more room than their texts
                 part = batch.slice(at, 512)
                 ids, digests, same = [], [], []
-                for t in texts_of(part, "__text"):
+                for t in texts_of(part, body):
                     ids.append(machine.encode(t))
                     digests.append(hashlib.sha256(ids[-1].astype("<i4", copy=False)).hexdigest())
                     same.append(machine.decode(ids[-1]) == t)
@@ -288,17 +313,17 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
                 columns = [*part.columns[:-1], pc.list_value_length(lists).cast(pa.int64()), lists, pa.array(digests), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_pieces", "ids", "ids_sha256", "round_trip"])
 
-    return kept.mapInArrow(run, f"{schema}, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean")
+    return map_streams(kept, run, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and the text that their ids decode to; null ids give the empty text."""
-    kept = encoded.select(*keep, F.col(ids).cast("array<int>").alias("__ids"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    """`keep` columns and the text that their ids decode to; null and empty ids give the empty text, rows are
+    independent."""
+    kept, body = _with(encoded, keep, encoded[quoted(ids)].cast("array<int>"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine = transducer(model)
-        texts = [machine.decode(np.array(i or [], np.int32)) for i in batch.column("__ids").to_pylist()]
+        texts = [machine.decode(np.array(i or [], np.int32)) for i in batch.column(body).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return map_batches(kept, run, f"{schema}, text string")
+    return map_batches(kept, run, StructType(kept.schema.fields[:-1]).add("text", "string"))

@@ -74,9 +74,9 @@ _OP6_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, count(*) AS group_size FROM d GROUP BY text_sha256),
-k AS (SELECT text_sha256, doc_id AS keep_id FROM d
+k AS (SELECT text_sha256, doc_id AS keep_id, points AS keep_points FROM d
       QUALIFY row_number() OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST) = 1)
-SELECT d.doc_id, k.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM k.keep_id AS kept, text_sha256
+SELECT d.doc_id, k.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM k.keep_id AND points = keep_points AS kept, text_sha256
 FROM d JOIN g USING (text_sha256) JOIN k USING (text_sha256)
 """
 

@@ -10,7 +10,8 @@ members, rounded up, are in the partner too. From that follow two filters that l
 
 Sets that share such a member are linked to the least of them, in proportion to the members. Within the components of
 these links every pair is verified by its true similarity, a component's sets being cut into blocks, so that any two
-blocks are a group of their own and a large component is spread over many tasks.
+blocks are a group of their own and a large component is spread over many tasks. Pairs that were proposed beforehand
+are verified first, and sets that they link already are not compared with each other again.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_batches, written
 from .graph import components
 
 #: Members that a bucket is meant for; sets and members of a block; members that a task verifies at once.
@@ -157,18 +158,26 @@ def _rarest(similarity: float):
     return run
 
 
-def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """For each set, the first one that pairs of the similarity lead to; only pairs of one in left and one in right."""
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: np.ndarray, similarity: float) -> np.ndarray:
+    """For each set, the first one that pairs of the similarity lead to; only pairs of one in left and one in right, and
+    of different groups in `known`, whose members are linked from the start."""
+    _, at, group = np.unique(known, return_index=True, return_inverse=True)
+    owner = at[group]
+    if (group == group[0]).all():
+        return owner
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    owner, has = np.arange(len(sets)), np.zeros(ids.max() + 1, np.int64)
+    has = np.zeros(ids.max() + 1, np.int64)
     for i in np.flatnonzero(left):
+        apart = right & (owner != owner[i])
+        if not apart.any():
+            continue
         own = ids[starts[i] : starts[i] + sizes[i]]
         has[own] = 1
         shared = np.add.reduceat(has[ids], starts)
         has[own] = 0
-        near = owner[right & (shared / (sizes + sizes[i] - shared) >= similarity)]
+        near = owner[apart & (shared / (sizes + sizes[i] - shared) >= similarity)]
         joined = np.unique(np.append(near, owner[i]))
         if len(joined) > 1:
             owner[np.isin(owner, joined)] = joined[0]
@@ -177,8 +186,8 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar
 
 def _verified(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        names = ["component", "low", "high", "block", "node"]
-        component, low, high, block, node = (table[n].to_numpy() for n in names)
+        names = ["component", "low", "high", "block", "node", "known"]
+        component, low, high, block, node, known = (table[n].to_numpy() for n in names)
         data = table["members"]
         order = np.lexsort((node, high, low, component))
         key = np.stack([component, low, high])[:, order]
@@ -187,8 +196,8 @@ def _verified(similarity: float):
         for rows in np.split(order, starts[1:]):
             if len(rows) > 1:
                 sets = [np.frombuffer(data[i].as_py(), np.uint64) for i in rows.tolist()]
-                owner = _linked(sets, block[rows] == low[rows], block[rows] == high[rows], similarity)
-                moved = owner != np.arange(len(rows))
+                owner = _linked(sets, block[rows] == low[rows], block[rows] == high[rows], known[rows], similarity)
+                moved = known[rows] != known[rows[owner]]
                 u.append(node[rows[moved]])
                 v.append(node[rows[owner[moved]]])
         edges = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (u, v)]
@@ -197,11 +206,26 @@ def _verified(similarity: float):
     return run
 
 
-def alike(rows: DataFrame, marked: DataFrame, sets: Sets, name: Callable[[np.ndarray], int], similarity: float) -> DataFrame:
+def _sure(similarity: float):
+    """Of proposed pairs, with their members: those of the similarity."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            kept.append(shared / (len(a) + len(b) - shared) >= similarity)
+        return batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def alike(rows: DataFrame, marked: DataFrame, sets: Sets, name: Callable[[np.ndarray], int], similarity: float, proposed: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of sets with the similarity.
 
     `sets` gives the sets of a batch of `rows` (which has a column `digest`) as rising hashes, `name` the name of a set,
-    the same for equal ones; `marked` has digest, node (that name as a signed long) and n (size) of every row.
+    the same for equal ones; `marked` has digest, node (that name as a signed long) and n (size) of every row, `proposed`
+    pairs (u, v) of nodes to be verified first. Sets without members are alike to none.
     """
     prefix = F.greatest(F.lit(1), F.col("n") * (1 - similarity + 0.125))
     total = marked.agg(F.sum(prefix)).first()[0] or 0
@@ -221,6 +245,10 @@ def alike(rows: DataFrame, marked: DataFrame, sets: Sets, name: Callable[[np.nda
 
     taken = rows.join(left.select("digest"), "digest", "left_semi").select(*rows.columns)
     kept = written(taken.mapInArrow(members, "node long, n long, members binary").dropDuplicates(["node"]), "sets")
+    with_members = lambda node, data: kept.select(F.col("node").alias(node), F.col("members").alias(data))
+    both = proposed.join(with_members("u", "a"), "u").join(with_members("v", "b"), "v").select("u", "v", "a", "b")
+    sure = written(map_batches(both, _sure(similarity), "u long, v long"), "sure")
+    known = components(sure).withColumnRenamed("component", "known")
     total = kept.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_MEMBERS))
     binary = ", ".join(f"c{i} binary" for i in range(4))
@@ -230,11 +258,11 @@ def alike(rows: DataFrame, marked: DataFrame, sets: Sets, name: Callable[[np.nda
     shared = first.groupBy("member").agg(F.collect_list("node").alias("nodes")).filter("size(nodes) > 1")
     found = components(shared.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")))
 
-    placed = kept.select("node", "n").join(found, "node")
+    placed = kept.select("node", "n").join(found, "node").join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
     sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     dealt = written(placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n"), "blocks")
     rows_out = dealt.join(kept, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = rows_out.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "members")
+    pairs = rows_out.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "known", "members")
     tasks = max(1, math.ceil((dealt.join(kept.select("node", "n"), "node").agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) / TASK_MEMBERS))
     grouped = pairs.groupBy(F.pmod(F.xxhash64("component", "low", "high"), F.lit(max(tasks, 64))).alias("task"))
-    return grouped.applyInArrow(_verified(similarity), "u long, v long")
+    return sure.union(grouped.applyInArrow(_verified(similarity), "u long, v long"))

@@ -6,14 +6,13 @@ to 23 bits, lies within 3 bits of exactly one word of the perfect binary Golay c
 of all code words within 4 bits (one, or six), then segments at distance 1 share an index. The keys of a fingerprint
 are, for each ordered pair of segments, the first one's bits with an index of the second.
 
-Two bits in 64 are only the nearest of near copies. `similar` goes further out: fingerprints of four words, whose
-segments are paired off and give a key for each pair of their code indices, so that both segments may have two errors
-and often more; what shares a key is verified by the distance that the wanted similarity leads to.
+Two bits in 64 are only the nearest of near copies. The pipeline's stage (`representatives`) goes out to a Jaccard
+similarity of 0.8: links of fingerprints propose pairs, each is verified by its true similarity, and filters that lose
+no pair find those that are further apart (see `resemblance`).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations, permutations
 
@@ -22,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import _LOWER, map_batches, texts_of, written
+from .common import _LOWER, fresh, map_batches, quoted, texts_of, written
 from .graph import components
 from .resemblance import alike
 
@@ -33,10 +33,8 @@ MAX_BITS = 2
 #: Up to so many fingerprints with one key are compared with each other; those of larger groups meet at midpoints.
 GROUP = 64
 
-#: Shingles and similarity of near copies, the 64-bit words of their fingerprints, and how many of these verify.
-SIMILAR_WORDS, SIMILARITY, WIDE, VERIFIED = 5, 0.8, 4, 2
-#: Keys that a bucket is meant for.
-BUCKET_KEYS = 1 << 19
+#: Shingles and similarity of near copies.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code (fixed value).
@@ -124,28 +122,15 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED)
     return _majority(_shingle_hashes(text, shingle_words, seed))
 
 
-def wide_fingerprint(text: str, shingle_words: int = SIMILAR_WORDS, words: int = WIDE, seed: int = SEED) -> list[int]:
-    """`words` words of 64 bits, from as many hashes of each distinct shingle; no words: 0.
-
-    Shingles count once, as they do in Jaccard similarity: else a line that fills half of two texts would make them one.
-    """
-    hashes, out = np.unique(_shingle_hashes(text, shingle_words, seed)), []
-    for i in range(words):
-        x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ (x >> np.uint64(31))))
-    return out
-
-
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """`keep` columns and fp: the fingerprint as a signed long."""
-    kept = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", fp long"
+    (body,) = fresh(docs, "content")
+    kept = docs.select(*(F.col(quoted(c)) for c in keep), F.col(quoted(text)).alias(body))
+    schema = StructType([*kept.schema.fields[:-1], StructField("fp", LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        fp = np.fromiter((fingerprint(t, **options) for t in texts_of(batch, "__text")), np.uint64, n)
+        fp = np.fromiter((fingerprint(t, **options) for t in texts_of(batch, body)), np.uint64, n)
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*keep, "fp"])
 
     return map_batches(kept, run, schema)
@@ -208,114 +193,6 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     return near.union(met.filter("u <> v"))
 
 
-def _errors(similarity: float, bits: int) -> int:
-    """How many of `bits` bits differ, on average and half a standard deviation more, at a Jaccard similarity."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 0.5 * math.sqrt(bits * p * (1 - p)))
-
-
-def _wide_keys(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, positions) of fingerprints whose words are given column by column (uint64): segments of the first half of
-    the words are paired with those of the second half."""
-    cut = [[((w >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS] for w in words]
-    halves = [sum(cut[: len(cut) // 2], []), sum(cut[len(cut) // 2 :], [])]
-    keys, rows = [], []
-    for number, (a, b) in enumerate(zip(*halves, strict=True)):
-        (ia, ra), (ib, rb) = code_indices(a), code_indices(b)
-        real = ra[:, :, None] & rb[:, None, :]
-        key = (number << 24) | (ia[:, :, None] << 12) | ib[:, None, :]
-        row, _, _ = np.nonzero(real)
-        keys.append(key[real])
-        rows.append(row)
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def _bucketed(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in part.columns]
-                keys, rows = _wide_keys(words)
-                bucket = (keys.astype(np.uint64) * _SPREAD >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    own = order[edges[b] : edges[b + 1]]
-                    data = np.stack([keys[own].view(np.uint64), *(w[rows[own]] for w in words[:VERIFIED])])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["bucket", "data"])
-
-    return run
-
-
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Whether columns (words, n) differ in `most` bits or fewer."""
-    return np.bitwise_count(a ^ b).sum(0, dtype=np.int64) <= most
-
-
-def _close_pairs(keys: np.ndarray, words: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of verified pairs among rows sorted by key."""
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    ends = np.repeat(starts + sizes, sizes)
-    small = np.repeat(sizes <= GROUP, sizes)
-    for step in range(1, GROUP):
-        at = np.flatnonzero(small[: max(0, len(keys) - step)] & (np.arange(max(0, len(keys) - step)) + step < ends[: max(0, len(keys) - step)]))
-        if not len(at):
-            break
-        at = at[_near(words[:, at], words[:, at + step], most)]
-        yield at, at + step
-    for start, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist(), strict=True):
-        rows = np.arange(start, start + size)
-        for i in rows[:-1]:
-            near = rows[i - start + 1 :][_near(words[:, i, None], words[:, i + 1 : start + size], most)]
-            yield np.full(len(near), i), near
-
-
-def _similar_in_bucket(most: int):
-    def run(table: pa.Table) -> pa.Table:
-        data = np.concatenate([np.frombuffer(b, np.uint64).reshape(1 + VERIFIED, -1) for b in table["data"].to_pylist()], axis=1)
-        order = np.argsort(data[0], kind="stable")
-        keys, words = data[0][order], np.ascontiguousarray(data[1:, order])
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        for a, b in _close_pairs(keys, words, most):
-            pairs = np.unique(np.stack([words[0][a], words[0][b]]), axis=1)
-            for x, y in pairs.T.tolist():
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        found = [(x, root(x)) for x in parent if root(x) != x]
-        u, v = (np.array(c, np.uint64).view(np.int64) for c in (zip(*found, strict=True) if found else ((), ())))
-        return pa.table({"u": pa.array(u), "v": pa.array(v)})
-
-    return run
-
-
-#: An odd constant that spreads keys over buckets (fixed value, 2**64 divided by the golden ratio).
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def similar(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) between first words of fingerprints w0, w1, ... whose distance speaks for the similarity.
-
-    Keys are paired code indices, so two fingerprints meet with a chance that rises with their similarity (about nine
-    in ten at 0.8, nearly always at 0.9); the distance is taken over the first VERIFIED words. All fingerprints with
-    one key are compared, so work grows with the square of such a group; only a bucket's spanning edges leave it.
-    """
-    columns = [f"w{i}" for i in range(WIDE)]
-    nodes = wide.groupBy("w0").agg(*(F.min(c).alias(c) for c in columns[1:]))
-    nodes = written(nodes.select(*columns), "wide")
-    buckets = max(1, math.ceil(nodes.count() * 169 / BUCKET_KEYS))
-    dealt = nodes.mapInArrow(_bucketed(buckets), "bucket int, data binary")
-    return dealt.groupBy("bucket").applyInArrow(_similar_in_bucket(_errors(similarity, 64 * VERIFIED)), "u long, v long")
-
-
 def _grouped(marked: DataFrame, first: Column) -> DataFrame:
     """fp, and first: the least of `first` over the component of the fingerprint."""
     groups = written(marked.groupBy("fp").agg(F.min(first).alias("first")), "groups")
@@ -340,13 +217,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group that pairs of the Jaccard similarity lead to (distinct shingles of SIMILAR_WORDS words),
-    with all its columns: that of the smallest doc_id (null last), then of the smallest hash of the text. Rows that
-    repeat its doc_id and text stay with it; texts without words are one group.
+    with all its columns, of whatever names: that of the smallest doc_id (null last), then of the smallest hash of the
+    text. Rows that repeat its doc_id and text stay with it; null, empty and blank texts are one group. Texts of any
+    length are read whole; an empty table gives no rows.
 
-    Every pair of the similarity is found and none below it is linked, see `resemblance`. Fingerprints would not do: a
-    distance lets through some pairs of any similarity near the wanted one, and misses some.
+    Fingerprints of the distinct shingles that are linked at 2 bits propose pairs, which are verified by their true
+    similarity. A distance alone would let through some pairs of any similarity near the wanted one, and miss some; so
+    every further pair of the similarity is found by `resemblance`, and none below it is linked.
     """
-    ident, digest = F.col(doc_id).cast("long"), F.xxhash64(text)
+    ident, digest = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     named = docs.select(ident.alias("doc_id"), digest.alias("digest"), F.col(text).alias("text"))
 
     def sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -356,13 +235,19 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return xxhash.xxh64_intdigest(members.tobytes(), SEED)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([(name(s), len(s)) for s in sets(batch)], np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["doc_id", "digest", "node", "n"])
+        found = np.array([(name(s), len(s), _majority(s)) for s in sets(batch)], np.uint64).reshape(-1, 3).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["doc_id", "digest", "node", "n", "fp"])
 
-    marked = written(map_batches(named, run, "doc_id long, digest long, node long, n long"), "sets-named")
+    marked = written(map_batches(named, run, "doc_id long, digest long, node long, n long, fp long"), "sets-named")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    groups = written(marked.groupBy("node").agg(F.min(first).alias("first")), "groups")
-    placed = groups.join(components(alike(named.select("digest", "text"), marked, sets, name, similarity)), "node", "left")
-    found = placed.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
-    kept = found.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")).distinct()
-    return docs.join(kept, ident.eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
+    groups = written(marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp")), "groups")
+    leads = written(groups.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    lead = lambda side: leads.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead"))
+    across = links(leads).distinct().join(lead("u"), "u").join(lead("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+    within = groups.join(leads, "fp").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    found = alike(named.select("digest", "text"), marked.drop("fp"), sets, name, similarity, across.union(within))
+    placed = groups.join(components(found), "node", "left")
+    kept = placed.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
+    mine, mark = fresh(docs, "ident", "mark")
+    kept = kept.select(F.col("first.doc_id").alias(mine), F.col("first.digest").alias(mark)).distinct()
+    return docs.join(kept, ident.eqNullSafe(F.col(mine)) & (digest == F.col(mark)), "left_semi")

@@ -398,6 +398,16 @@ def test_repeated(spark):
     assert Counter(r.doc_id for r in out.collect()) == {d: n for d, n in times.items() if n}
 
 
+def test_bins_stay_small_at_any_quality(spark):
+    """The bins of a source whose documents all have the least quality, or one of two, as `mix` cuts them."""
+    r = np.random.default_rng(2)
+    for quality in (np.full(200_000, mixing.LEAST_QUALITY), r.choice([0.05, 0.9], 200_000), r.uniform(0.05, 1, 200_000)):
+        key = -np.log(r.random(200_000)) / quality
+        per_unit = max(1.0, len(key) / math.e / mixing.BIN_ROWS)
+        _, sizes = np.unique(np.floor(np.log(key) * per_unit), return_counts=True)
+        assert sizes.max() < 2 * mixing.BIN_ROWS
+
+
 # 6
 
 
@@ -429,6 +439,40 @@ def test_trie(budget):
     assert {t: (g.owner, g.size) for t, g in trie.items()} == {t: (min(v)[1], len(v)) for t, v in expected.items()}
 
 
+def test_kept_rows_of_repeated_ids(spark):
+    rows = ["a b c", "a  b   c", "a  b   c", "x", "x", "abc"]
+    docs = frame(spark, rows, ids=[1, 1, 1, None, None, 0])
+    assert sorted(r.text for r in exact_dedup.deduplicated(docs).collect()) == ["a  b   c", "x"]
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.kept, r.group_size) for r in exact_dedup.exact_groups(docs).collect())
+    assert found == [(-1, True, 2), (-1, True, 2), (0, False, 4), (1, False, 4), (1, True, 4), (1, True, 4)]
+    tie = frame(spark, ["a b", "a\tb", "a\nb"], ids=[1, 1, 1])
+    kept = exact_dedup.deduplicated(tie).collect()
+    assert len(kept) == 1 and kept == exact_dedup.deduplicated(tie.orderBy("text")).collect()
+    assert [r.kept for r in exact_dedup.exact_groups(tie).collect()].count(True) == 1
+
+
+CLASHES = ["ident", "mark", "order", "whole", "name", "size", "times", "copy", "content", "text_", "key", "digest", "a.b", "with `ticks`", "__id", "__copy", "x", "node", "part"]
+
+
+def test_columns_with_names_that_clash(spark, sf_dir):
+    texts = [prose(30) for _ in range(12)] + ["same  words", "same words", "same words"]
+    rows = [(i, t, f"s{i % 2}", *(f"{i}/{c}" for c in CLASHES)) for i, t in enumerate(texts)]
+    kind = ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {kind}")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    whole = {tuple(r) for r in rows}
+    for kept in (toxicity.clean(docs, labels), exact_dedup.deduplicated(docs), simhash.representatives(docs), mixing.repeated(docs)):
+        assert kept.columns == docs.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert got and set(got) <= whole
+    found = pieces.encode(docs, PIECES, keep=("doc_id", "content", "a.b", "with `ticks`")).collect()
+    assert {(r[0], r[1], r[2], r[3]) for r in found} == {(i, f"{i}/content", f"{i}/a.b", f"{i}/with `ticks`") for i in range(len(texts))}
+    back = pieces.decode(pieces.encode(docs, PIECES, keep=("doc_id", "content")), PIECES, keep=("doc_id", "content")).collect()
+    assert {(r.doc_id, r.content, r.text) for r in back} == {(i, f"{i}/content", t) for i, t in enumerate(texts)}
+    marked = simhash.fingerprints(docs, keep=("content", "a.b")).collect()
+    assert {(r[0], r[1]) for r in marked} == {(f"{i}/content", f"{i}/a.b") for i in range(len(texts))}
+
+
 def test_deduplicated(spark):
     docs = frame(spark, ["a b", "ab", "ab", "c", "c", None, " "], ids=[3, 2, 2, 7, 7, 1, None])
     kept = exact_dedup.deduplicated(docs)
@@ -542,6 +586,16 @@ def test_top_k_odd(spark):
     assert sorted(map(tuple, topk.top_k(vectors(spark, large)).collect())) == plain_top_k([(i, [float(np.float32(x)) for x in v]) for i, v in large])
 
 
+def test_trees_survive_packing():
+    r = np.random.default_rng(5)
+    for scale in (1, 1e3, 1e12):
+        v = np.floor(r.normal(size=(300, 4)) * 1024 * scale)
+        tree = topk.KDTree(np.arange(300), v)
+        again = topk.KDTree.unpacked(tree.packed())
+        queries = [(i, i, v[i], None) for i in range(20)]
+        assert (again.vectors == tree.vectors).all() and again.answers(queries, 5) == tree.answers(queries, 5)
+
+
 def test_tree_prunes():
     r = np.random.default_rng(1)
     v = np.floor(r.normal(size=(4000, 3)) * 1024)
@@ -572,6 +626,21 @@ def test_pieces(spark, odd, real):
     assert pieces.encode(odd.limit(0), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("rules", [(a, b, c) for a in (False, True) for b in (False, True) for c in (False, True)])
+def test_normaliser_is_its_machine(rules):
+    machine, r = pieces.Normaliser(*rules), random.Random(6)
+    for text in ["", " ", "  ", "a", *("".join(r.choice(" ab▁") for _ in range(r.randrange(12))) for _ in range(300))]:
+        assert machine(text) == machine.walk(text)
+
+
+def test_segments_without_a_path_are_merged(monkeypatch):
+    machine = pieces.Transducer(PIECES)
+    whole = machine.path("▁hello")
+    monkeypatch.setattr(pieces.Transducer, "_joins", lambda *_: False)
+    monkeypatch.setattr(pieces.Transducer, "_edge", lambda *_: None)
+    assert pieces.Transducer(PIECES).path("▁hello") == whole
+
+
 def message(number, data):
     if isinstance(data, int):
         return bytes([number << 3, data])

@@ -7,26 +7,9 @@ import corpus_pipeline
 import public_tokenizers
 import sentencepiece
 from test_llm_operators import ODD, frame, plain_groups, prose, rows_of
+from test_resemblance import plain_representatives
 
-from heronry.llm import mixing, simhash, toxicity
-
-
-def plain_near(rows):
-    """The smallest id of each group, all pairs compared by the verified words of the wide fingerprint."""
-    marks = [(d, simhash.wide_fingerprint(t)[: simhash.VERIFIED]) for d, t in rows]
-    most = simhash._errors(simhash.SIMILARITY, 64 * simhash.VERIFIED)
-    linked = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a[1], b[1], strict=True)) <= most
-    out = set()
-    while marks:
-        group, todo = [], [marks.pop()]
-        while todo:
-            a = todo.pop()
-            group.append(a[0])
-            near = [b for b in marks if linked(a, b)]
-            marks = [b for b in marks if b not in near]
-            todo += near
-        out.add(min(group))
-    return out
+from heronry.llm import mixing, toxicity
 
 
 def test_stages(spark, sf_dir):
@@ -44,7 +27,7 @@ def test_stages(spark, sf_dir):
     assert exact.columns == docs.columns and sorted(exact.collect()) == sorted(r for r in clean.collect() if r.doc_id in keep)
 
     near = stages["near_dedup"](spark, exact, sf_dir).cache()
-    stays = plain_near(rows_of(exact))
+    stays = plain_representatives(rows_of(exact))
     assert near.columns == docs.columns and sorted(near.collect()) == sorted(r for r in exact.collect() if r.doc_id in stays)
 
     mixed = stages["mixing"](spark, near, sf_dir).cache()
