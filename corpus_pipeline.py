@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from heronry.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from heronry.llm.common import table, written
+from heronry.llm.common import removed_after, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; of what the others write, only the input of the last is left behind."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with removed_after(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            with removed_after(spark) as keep_stage:
+                docs = keep_stage(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
