@@ -11,16 +11,19 @@ No table of the tree is ever held whole. The corpus is cut into blocks of about
 they were written. For each depth, a block sends its distinct n-grams (as hashes, with their counts in training
 rows) to buckets of the hash space, and each bucket answers every block with the corpus-wide counts of just what it
 asked for. What is sent is in proportion to the corpus, every key is pre-aggregated by block, and no bucket can be made
-hot by a frequent word.
+hot by a frequent word. From depth to depth a block keeps its documents' sums and only those positions whose contexts
+may go deeper; the depth ends at MAX_DEPTH words, the tree's order, or where no context is left.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, fold, shuffles_removed, texts_of
+from .common import _LOWER, fold, shuffles_removed, texts_of, written
 
 HOLD_MODULUS, HELD_OUT = 7, 2
-MAX_DEPTH = 2
+MAX_DEPTH = 6
 MIN_COUNT = 8
 #: Nats that a state's distribution must gain over its suffix's, per occurrence.
 MIN_DIVERGENCE = 0.02
@@ -50,8 +53,11 @@ _CUT = np.uint64(64 - HASH_BITS)
 _START, _END = (np.uint64(xxhash.xxh64_intdigest(b)) >> _CUT for b in (b" start", b" end"))  # no word has white space
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64 (fixed values)
 
+#: Where a pass's rows hold no question but the block's state.
+_KEPT = -1
 _BLOCK = "block long, tokens binary, vocabulary binary, lengths binary, training binary, doc_ids binary, n_tokens long, n_training long"
 _ASK = "block long, bucket int, keys binary, amounts binary"
+_PASS = f"{_ASK}, state binary, n_active long"
 _ANSWER = "block long, step int, bucket int, totals binary, flags binary, n_distinct long"
 
 
@@ -141,139 +147,214 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         yield close()
 
 
-class _Block:
-    """One block, taken as far as the answers so far allow."""
-
-    def __init__(self, row: dict, answers: dict[int, tuple[np.ndarray, np.ndarray]], numbers: dict) -> None:
-        self.answers, self.numbers = answers, numbers
-        self.tokens, self.vocabulary = _unpack(row["tokens"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
-        self.lengths, self.training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
-        self.doc_ids = _unpack(row["doc_ids"], np.int64).reshape(-1, 2)
-        self.first = np.cumsum(self.lengths) - self.lengths
-        self.trained = np.repeat(self.training, self.lengths)
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Step 0: how often each word is in training rows; the start of a text counts for its rows."""
-        counts = np.bincount(self.tokens[self.trained], minlength=len(self.vocabulary))
-        counts[0] = self.training.sum()
-        self.order = np.argsort(self.vocabulary)
-        return self.vocabulary[self.order], counts[self.order].astype(np.float64)
-
-    def root(self) -> None:
-        self.words()
-        counts = np.empty(len(self.vocabulary))
-        counts[self.order] = self.answers[0][0]
-        self.known = counts[self.tokens] > 0
-        self.log = np.log((counts + 1) / (self.numbers["tokens"] + self.numbers["words"] + 1))[self.tokens]
-        self.base = self.log.copy()
-        # the context of depth 1: its key's place among self.keys, -1 where there is none
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.first] = 0
-        self.keys, self.counts = self.vocabulary, counts
-        self.context = np.where(counts[before] >= self.numbers["min_count"], before, -1)
+def _renumbered(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(those of 0..n-1 that occur, each number's place among them)."""
+    seen = np.zeros(n, bool)
+    seen[numbers] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[numbers].astype(np.int32)
+
+
+@dataclass
+class _State:
+    """One block at one depth: its documents with the log-probabilities of their settled words, and the active positions:
+    those whose context of this depth is a candidate."""
+
+    # by document
+    doc_ids: np.ndarray
+    training: np.ndarray
+    lengths: np.ndarray
+    n_known: np.ndarray
+    base: np.ndarray
+    settled: np.ndarray
+    # by active position, rising: the word (-1: not in training rows), the context, the n-gram of both (-1: unknown
+    # word) and the log-probability so far
+    position: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    gram: np.ndarray
+    log: np.ndarray
+    # of words and contexts in use
+    vocabulary: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def root(cls, row: dict, counted: np.ndarray, numbers: dict) -> _State:
+        """Depth 1: every word has its probability at the root, and the word before it as a context."""
+        tokens, vocabulary = _unpack(row["tokens"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
+        lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
+        first = np.cumsum(lengths) - lengths
+        counts = np.empty(len(vocabulary))
+        counts[np.argsort(vocabulary)] = counted
+        log = np.log((counts + 1) / (numbers["tokens"] + numbers["words"] + 1))[tokens]
+        known = counts[tokens] > 0
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[first] = 0
+        active = np.flatnonzero(counts[before] >= numbers["min_count"])
+        total = lambda x: np.add.reduceat(x, first)
+        state = cls(
+            _unpack(row["doc_ids"], np.int64).reshape(-1, 2), training, lengths, total(known.astype(np.int64)), total(log), np.zeros(len(lengths)),
+            np.arange(len(tokens), dtype=np.uint32), np.where(known, tokens, -1), before, np.zeros(0, np.int32), log, vocabulary, vocabulary, counts,
+        )
+        return state._left(active, before[active])
+
+    def documents(self) -> np.ndarray:
+        """The document of each active position."""
+        return np.searchsorted(np.cumsum(self.lengths), self.position, side="right")
+
+    def _left(self, active: np.ndarray, context: np.ndarray) -> _State:
+        """With these active positions and their contexts (numbers of keys); the words of others are settled."""
+        done = np.ones(len(self.position), bool)
+        done[active] = False
+        settled = self.settled + np.bincount(self.documents()[done], self.log[done], len(self.lengths))
+        used, context = _renumbered(context, len(self.keys))
+        word = self.word[active]
+        known = word >= 0
+        words, word[known] = _renumbered(word[known], len(self.vocabulary))
+        return replace(
+            self, settled=settled, position=self.position[active], word=word, context=context, gram=np.zeros(0, np.int32), log=self.log[active],
+            vocabulary=self.vocabulary[words], keys=self.keys[used], counts=self.counts[used],
+        )
+
+    def packed(self) -> bytes:
+        moved = self.__dict__ | {"position": np.diff(self.position, prepend=np.uint32(0))}
+        return pickle.dumps([(name, a.dtype.str, a.shape, _pack_planes(a.ravel()) if a.size else b"") for name, a in moved.items()])
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> _State:
+        """A state of `packed`; the bytes come from the tasks of the pass before."""
+        found = {name: (_unpack_planes(b, dtype) if b else np.zeros(0, dtype)).reshape(shape) for name, dtype, shape, b in pickle.loads(data)}  # noqa: S301
+        found["position"] = np.cumsum(found["position"], dtype=np.uint32)
+        return cls(**found)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """The odd steps: the distinct n-grams of contexts that are frequent enough, with words that are known; of
-        others the count is 0."""
-        self.at = np.flatnonzero(self.context >= 0)
-        known = self.known[self.at]
-        asked = self.at[known]
-        key = _hash_pair(self.keys[self.context[asked]], self.vocabulary[self.tokens[asked]])
+        """The distinct n-grams of active positions with words that are known, and how often training rows have them."""
+        asked = np.flatnonzero(self.word >= 0)
+        key = _hash_pair(self.keys[self.context[asked]], self.vocabulary[self.word[asked]])
         order = np.argsort(key)
         key = key[order]
         new = np.append(True, key[1:] != key[:-1])[: len(key)]
-        gram = np.empty(len(key), np.int64)
+        gram = np.empty(len(key), np.int32)
         gram[order] = np.cumsum(new) - 1
-        self.gram = np.full(len(self.at), -1)  # the n-gram's place among the distinct ones, -1: not known
-        self.gram[known] = gram
-        self.distinct = key[new]
-        self.sample = asked[order[new]]  # a position of each
-        return self.distinct, np.bincount(gram, self.trained[asked], len(self.distinct))
-
-    def gains(self, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """The even steps: by context, what its counts tell more than its suffix, over the n-grams this block owns."""
-        self.grams()
-        totals, owned = self.answers[step - 1]
+        self.gram = np.full(len(self.word), -1, np.int32)
+        self.gram[asked] = gram
+        trained = self.training[self.documents()[asked]]
+        return key[new], np.bincount(gram, trained, int(new.sum()))
+
+    def samples(self) -> np.ndarray:
+        """An active position of each n-gram."""
+        at = np.flatnonzero(self.gram >= 0)
+        out = np.zeros(int(self.gram.max(initial=-1)) + 1, np.int64)
+        out[self.gram[at]] = at
+        return out
+
+    def gains(self, totals: np.ndarray, owned: np.ndarray, numbers: dict) -> tuple[np.ndarray, np.ndarray]:
+        """By context (in the order of the keys): what its counts tell more than its suffix, over the n-grams that this
+        block owns."""
         own = np.flatnonzero(owned & (totals > 0))
-        where, n, k = self.sample[own], totals[own], self.numbers["strength"]
-        context, p = self.context[where], np.exp(self.log[where])
-        gain = n * (np.log((n - 1 + k * p) / (self.counts[context] - 1 + k)) - self.log[where])
-        used = np.zeros(len(self.keys), bool)
-        used[self.context[self.at]] = True
-        self.used = np.flatnonzero(used)
-        self.used = self.used[np.argsort(self.keys[self.used])]
-        amounts = np.bincount(context, gain, len(self.keys))
-        return self.keys[self.used], amounts[self.used] / self.counts[self.used]
-
-    def descend(self, step: int) -> None:
-        """Scores by the states of this depth, and the contexts of the next one."""
-        self.gains(step)
-        totals, _ = self.answers[step - 1]
+        where, n, k = self.samples()[own], totals[own], numbers["strength"]
+        context, log = self.context[where], self.log[where]
+        gain = n * (np.log((n - 1 + k * np.exp(log)) / (self.counts[context] - 1 + k)) - log)
+        order = np.argsort(self.keys)
+        return self.keys[order], (np.bincount(context, gain, len(self.keys)) / self.counts)[order]
+
+    def descend(self, totals: np.ndarray, is_state: np.ndarray, numbers: dict) -> _State:
+        """Scores by the states of this depth, and the positions that go deeper: their context is a state, and with the
+        word before it a frequent n-gram."""
         state = np.zeros(len(self.keys), bool)
-        state[self.used] = self.answers[step][1]
-        n = np.append(totals, 0)[self.gram]
-        context, k = self.context[self.at], self.numbers["strength"]
-        here = state[context]
-        at = self.at[here]
-        longer = np.full(len(self.tokens), -1)
-        longer[self.at] = np.where(n >= self.numbers["min_count"], self.gram, -1)
-        self.log[at] = np.log((n[here] + k * np.exp(self.log[at])) / (self.counts[context[here]] + k))
-        following = np.full(len(self.tokens), -1)
-        following[1:] = longer[:-1]
-        following[self.first] = -1
-        ok = np.zeros(len(self.tokens), bool)
-        ok[at] = True
-        self.context = np.where(ok, following, -1)
-        self.keys, self.counts = self.distinct, totals
-
-    def ask(self, step: int) -> tuple[np.ndarray, np.ndarray]:
-        if step == 0:
-            return self.words()
-        self.root()
-        for done in range(2, step, 2):
-            self.descend(done)
-        return self.grams() if step % 2 else self.gains(step)
-
-    def score(self, depth: int) -> pa.Table:
-        self.root()
-        for done in range(2, 2 * depth + 1, 2):
-            self.descend(done)
-        total = lambda x: np.add.reduceat(x, self.first)
+        state[np.argsort(self.keys)] = is_state
+        n, k = np.append(totals, 0.0)[self.gram], numbers["strength"]
+        here = state[self.context]
+        log = self.log.copy()
+        log[here] = np.log((n[here] + k * np.exp(log[here])) / (self.counts[self.context[here]] + k))
+        follows, document = np.zeros(len(here), bool), self.documents()
+        follows[1:] = (np.diff(self.position) == 1) & (document[1:] == document[:-1]) & (n[:-1] >= numbers["min_count"])
+        active = np.flatnonzero(follows & here)
+        at = self.samples()
+        keys = _hash_pair(self.keys[self.context[at]], self.vocabulary[self.word[at]])
+        return replace(self, log=log, keys=keys, counts=totals)._left(active, self.gram[active - 1])
+
+    def scores(self, numbers: dict) -> pa.Table:
         return pa.table(
             {
                 "doc_id": pa.array(self.doc_ids[:, 0], mask=self.doc_ids[:, 1] > 0), "held_out": ~self.training, "n_tokens": self.lengths,
-                "n_known": total(self.known.astype(np.int64)), "train_tokens": np.full(len(self.lengths), int(self.numbers["tokens"])),
-                "base_score": total(self.base) / math.log(10), "score": total(self.log) / math.log(10),
+                "n_known": self.n_known, "train_tokens": np.full(len(self.lengths), int(numbers["tokens"])),
+                "base_score": self.base / math.log(10), "score": (self.settled + np.bincount(self.documents(), self.log, len(self.lengths))) / math.log(10),
             }
         )
 
 
-def _opened(block: pa.Table, answers: pa.Table, numbers: dict) -> _Block:
-    rows = sorted(answers.select(["step", "bucket", "totals", "flags"]).to_pylist(), key=lambda r: (r["step"], r["bucket"]))
-    found = {}
-    for step, pieces in itertools.groupby(rows, lambda r: r["step"]):
-        pieces = list(pieces)
-        found[step] = tuple(np.concatenate([f(p[c]) for p in pieces]) for c, f in (("totals", _unpack_counts), ("flags", lambda b: _unpack(b, bool))))
+def _answers(table: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(totals, flags) of a block's questions of a step, in the order of the keys."""
+    rows = sorted((r for r in table.select(["step", "bucket", "totals", "flags"]).to_pylist() if r["step"] == step), key=lambda r: r["bucket"])
+    none = np.zeros(0)
+    return np.concatenate([none, *(_unpack_counts(r["totals"]) for r in rows)]), np.concatenate([none.astype(bool), *(_unpack(r["flags"], bool) for r in rows)])
+
+
+def _questions(block: int, keys: np.ndarray, amounts: np.ndarray, buckets: int, pack) -> list[tuple]:
+    """Rows of _ASK, by the upper bits of the rising keys, so that buckets in order are keys in order."""
+    bucket = ((keys >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    return [(block, b, _pack_sorted(keys[edges[b] : edges[b + 1]]), pack(amounts[edges[b] : edges[b + 1]])) for b in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+def _asked(rows: list[tuple], names: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    columns = zip(*rows, strict=True) if rows else ((),) * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _asks_words(buckets: int):
+    """Step 0: how often each word is in training rows; the start of a text counts for its rows."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        out = []
+        for row in blocks.to_pylist():
+            tokens, vocabulary = _unpack(row["tokens"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
+            lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
+            counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(vocabulary))
+            counts[0] = training.sum()
+            order = np.argsort(vocabulary)
+            out += _questions(row["block"], vocabulary[order], counts[order].astype(np.float64), buckets, _pack_counts)
+        return _asked(out, _ASK)
+
+    return run
+
+
+def _stepped(block: pa.Table, answers: pa.Table, depth: int, numbers: dict) -> _State:
+    """A block at `depth`, from itself and the counts of its words, or from its state one depth less and the answers to that."""
     row = block.to_pylist()[0]
-    return _Block(row, defaultdict(lambda: (np.zeros(0), np.zeros(0, bool)), found), numbers)
+    if depth == 1:
+        return _State.root(row, _answers(answers, 0)[0], numbers)
+    totals, flags = _answers(answers, 2 * depth - 3)[0], _answers(answers, 2 * depth - 2)[1]
+    return _State.unpacked(row["state"]).descend(totals, flags, numbers)
+
+
+def _asks_grams(depth: int, buckets: int, numbers: dict):
+    """The odd steps: the n-grams of this depth, and the block's state."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        if block.num_rows:
+            state, name = _stepped(block, answers, depth, numbers), block["block"][0].as_py()
+            out = [(*q, None, 0) for q in _questions(name, *state.grams(), buckets, _pack_counts)]
+            out.append((name, _KEPT, None, None, state.packed(), len(state.position)))
+        return _asked(out, _PASS)
+
+    return run
+
 
+def _asks_gains(depth: int, buckets: int, numbers: dict):
+    """The even steps: which contexts of this depth are states."""
 
-def _asker(step: int, buckets: int, numbers: dict):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         if block.num_rows:
-            keys, amounts = _opened(block, answers, numbers).ask(step)
-            # by the upper bits of the key, so that buckets in order are keys in order
-            bucket = ((keys >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            name = block["block"][0].as_py()
-            pack = _pack_gains if _asks_states(step) else _pack_counts
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                part = slice(edges[b], edges[b + 1])
-                out.append((name, b, _pack_sorted(keys[part]), pack(amounts[part])))
-        columns = zip(*out, strict=True) if out else ((),) * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "keys", "amounts"])
+            row = block.to_pylist()[0]
+            out = _questions(row["block"], *_State.unpacked(row["state"]).gains(*_answers(answers, 2 * depth - 1), numbers), buckets, _pack_gains)
+        return _asked(out, _ASK)
 
     return run
 
@@ -326,32 +407,60 @@ def scores(
     count and are scored each; a null doc_id counts as the empty text in the fold. Without training rows every word is
     unknown. An empty table gives no rows.
 
-    Words and n-grams are told apart by HASH_BITS bits. Blocks and answers lie in bucketed tables of the warehouse, so
-    that no step shuffles what an earlier one has.
+    Texts of any length are scored whole; further columns are not looked at. Words and n-grams are told apart by
+    HASH_BITS bits. Blocks and answers lie in bucketed tables of the warehouse, so that no step shuffles what an earlier
+    one has; they are dropped once used.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (fold(doc_id, HOLD_MODULUS) != HELD_OUT).alias("trained"))
-    name = f"blocks_{uuid.uuid4().hex}"
     parts = 4 * spark.sparkContext.defaultParallelism  # a block is a task's unit, a bucket a few of them
-    rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK).write.bucketBy(parts, "block").option("compression", "none").saveAsTable(name)
-    blocks = spark.table(name)
-    total, training = blocks.agg(F.sum("n_tokens"), F.sum("n_training")).first()
-    buckets = max(1, math.ceil((total or 0) / bucket_keys))
-    numbers = {"tokens": float(training or 0), "words": 0.0, "min_count": min_count, "min_divergence": min_divergence, "strength": strength}
-    kept = f"answers_{uuid.uuid4().hex}"
-    answers = spark.createDataFrame([], _ANSWER)
-    for step in range(2 * depth + 1):
-        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asker(step, buckets, dict(numbers)), _ASK)
-        answered = asked.groupBy("bucket").applyInArrow(_totals(step, min_divergence), _ANSWER)
-        # dealt like the blocks, once, for all steps that follow
-        with shuffles_removed(spark):
-            answered.repartition(parts, "block").write.mode("append").bucketBy(parts, "block").option("compression", "none").saveAsTable(kept)
-        answers = spark.table(kept)
-        if step == 0:
-            numbers["words"] = float(answers.agg(F.sum("n_distinct")).first()[0] or 0)
-
-    def last(block: pa.Table, answered: pa.Table) -> pa.Table:
-        return _opened(block, answered, numbers).score(depth)
+    call, tables = uuid.uuid4().hex, []
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Written as a table whose rows are dealt by block, once, for all steps that follow."""
+        tables.append(f"{name}_{call}")
+        with shuffles_removed(spark):
+            df.write.mode("append").bucketBy(parts, "block").option("compression", "none").saveAsTable(tables[-1])
+        return spark.table(tables[-1])
+
+    def dropped(*names: str) -> None:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{call}")
+
+    def answered(asked: DataFrame, step: int, depth: int) -> DataFrame:
+        answers = asked.groupBy("bucket").applyInArrow(_totals(step, min_divergence), _ANSWER)
+        return kept(answers.repartition(parts, "block"), f"answers{depth}")
+
+    try:
+        left = kept(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK), "blocks")
+        total, training = left.agg(F.sum("n_tokens"), F.sum("n_training")).first()
+        buckets = max(1, math.ceil((total or 0) / bucket_keys))
+        numbers = {"tokens": float(training or 0), "words": 0.0, "min_count": min_count, "min_divergence": min_divergence, "strength": strength}
+        answers = answered(left.groupBy("block").applyInArrow(_asks_words(buckets), _ASK), 0, 0)
+        numbers["words"] = float(answers.agg(F.sum("n_distinct")).first()[0] or 0)
+        for d in range(1, depth + 1):
+            asked = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asks_grams(d, buckets, dict(numbers)), _PASS)
+            passed = kept(asked, f"pass{d}")
+            dropped("blocks", f"pass{d - 1}", f"answers{d - 1}")
+            left = passed.filter(F.col("bucket") == _KEPT).select("block", "state")
+            if not passed.agg(F.sum("n_active")).first()[0]:
+                answers = None
+                break
+            answers = answered(passed.filter(F.col("bucket") != _KEPT).select("block", "bucket", "keys", "amounts"), 2 * d - 1, d)
+            asked = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asks_gains(d, buckets, dict(numbers)), _ASK)
+            answers = answered(asked, 2 * d, d)
+
+        def last(block: pa.Table, answered: pa.Table) -> pa.Table:
+            return _stepped(block, answered, depth + 1, numbers).scores(numbers) if block.num_rows else empty
+
+        def settled(block: pa.Table) -> pa.Table:
+            return _State.unpacked(block["state"][0].as_py()).scores(numbers)
+
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *(pa.int64(),) * 3, pa.float64(), pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        by_block = left.groupBy("block")
+        found = by_block.applyInArrow(settled, schema) if answers is None else by_block.cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+        return written(found, "scores")
+    finally:
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

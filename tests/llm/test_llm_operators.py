@@ -125,7 +125,7 @@ def by_text(rows):
     return sorted(rows, key=lambda r: [*map(str, r)])
 
 
-@pytest.mark.parametrize(("depth", "min_count", "min_divergence"), [(1, 4, 0.01), (2, 3, 0.02), (3, 2, 0.0)])
+@pytest.mark.parametrize(("depth", "min_count", "min_divergence"), [(0, 4, 0.0), (1, 4, 0.01), (2, 3, 0.02), (3, 2, 0.0), (12, 2, -1.0)])
 def test_suffix_tree(spark, depth, min_count, min_divergence):
     r = random.Random(1)
     texts = [prose(r.randrange(0, 60), r) for _ in range(60)] + ["the same words again and again"] * 12 + [None, "", "NEW Words"]
