@@ -35,8 +35,9 @@ from .common import fresh, map_batches, map_streams, quoted, texts_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Segments and piece pairs that a worker remembers, and the longest segment among them.
-REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_CHARS = 500_000, 500_000, 48
+#: Segments of a generation, of which a worker remembers two, piece pairs that it remembers, and the longest segment
+#: among them.
+REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_CHARS = 150_000, 300_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -147,6 +148,7 @@ class Transducer:
         self.joins: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[str, float, float]] | None] = {}
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merged(self, text: str) -> tuple[list[str], list[list[str]]]:
         """The symbols that merging leaves, and what stood at the left and at the right edge meanwhile: again and again
@@ -248,18 +250,20 @@ class Transducer:
         return out
 
     def _remember(self, segment: str) -> bytes:
-        ids = np.array(self.path(segment), np.int32).tobytes()
+        """The path of a segment that is not among the latest; what was used since the last turn stays for the next."""
+        if (ids := self.older.get(segment)) is None:
+            ids = np.array(self.path(segment), np.int32).tobytes()
         if len(segment) <= REMEMBERED_CHARS:
             if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
+                self.older, self.seen = self.seen, {}
             self.seen[segment] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; a run of characters without a piece and without byte pieces is one unknown piece."""
         found = self.segments.findall(self.normalise(text))
-        get, remember = self.seen.get, self._remember
-        ids = np.frombuffer(b"".join([get(s) or remember(s) for s in found]), np.int32)
+        remember = self._remember
+        ids = np.frombuffer(b"".join([self.seen.get(s) or remember(s) for s in found]), np.int32)
         if not self.bytes and len(ids):
             ids = ids[np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))]
         return ids

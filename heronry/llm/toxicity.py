@@ -63,7 +63,7 @@ FEATURES = (
 )
 
 #: Words without weight that a worker remembers for a lexicon, and word beginnings that it counts before it hands them on.
-REMEMBERED, COUNTED = 100_000, 200_000
+REMEMBERED, COUNTED = 60_000, 150_000
 
 
 @dataclass
