@@ -11,8 +11,8 @@ No table of the tree is ever held whole. The corpus is cut into blocks of about
 they were written. For each depth, a block sends its distinct n-grams (as hashes, with their counts in training
 rows) to buckets of the hash space, and each bucket answers every block with the corpus-wide counts of just what it
 asked for. What is sent is in proportion to the corpus, every key is pre-aggregated by block, and no bucket can be made
-hot by a frequent word. From depth to depth a block keeps its documents' sums and only those positions whose contexts
-may go deeper; the depth ends at MAX_DEPTH words, the tree's order, or where no context is left.
+hot by a frequent word. From KEPT_DEPTH on a block keeps its documents' sums and only those positions whose contexts may
+go deeper; the depth ends at MAX_DEPTH words, the tree's order, or where no context is left.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ BLOCK_TOKENS = 1 << 20
 #: Keys that a bucket is meant to get.
 BUCKET_KEYS = 2 << 20
 
+#: Bits behind the point that a log-probability keeps between depths.
+LOG_BITS = 36
+
 #: Words and n-grams are told apart by so many bits: of 10**12 of them, one in 70 000 shares its key with another.
 HASH_BITS = 56
 _CUT = np.uint64(64 - HASH_BITS)
@@ -53,6 +56,9 @@ _CUT = np.uint64(64 - HASH_BITS)
 _START, _END = (np.uint64(xxhash.xxh64_intdigest(b)) >> _CUT for b in (b" start", b" end"))  # no word has white space
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64 (fixed values)
 
+#: The depth from which on blocks keep their states; up to there nearly every word is active, and answers are smaller.
+KEPT_DEPTH = 3
+
 #: Where a pass's rows hold no question but the block's state.
 _KEPT = -1
 _BLOCK = "block long, tokens binary, vocabulary binary, lengths binary, training binary, doc_ids binary, n_tokens long, n_training long"
@@ -126,7 +132,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         hashes = np.array([_START, _END, *(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)) >> _CUT)], np.uint64)
         size, trained = np.array(lengths, np.int64), np.array(training, bool)
         row = {
-            "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack(np.concatenate(tokens)), "vocabulary": hashes.tobytes(), "lengths": _pack(size), "training": _pack(trained),
+            "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack_planes(np.concatenate(tokens)), "vocabulary": hashes.tobytes(), "lengths": _pack(size), "training": _pack(trained),
             "doc_ids": _pack(np.array([(i or 0, i is None) for i in ids], np.int64)), "n_tokens": int(size.sum()), "n_training": int(size[trained].sum()),
         }
         return pa.RecordBatch.from_pylist([row], pa.schema([(n, pa.int64() if n in ("block", "n_tokens", "n_training") else pa.binary()) for n in names]))
@@ -181,7 +187,7 @@ class _State:
     @classmethod
     def root(cls, row: dict, counted: np.ndarray, numbers: dict) -> _State:
         """Depth 1: every word has its probability at the root, and the word before it as a context."""
-        tokens, vocabulary = _unpack(row["tokens"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
+        tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), np.frombuffer(row["vocabulary"], np.uint64)
         lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
         first = np.cumsum(lengths) - lengths
         counts = np.empty(len(vocabulary))
@@ -218,14 +224,15 @@ class _State:
         )
 
     def packed(self) -> bytes:
-        moved = self.__dict__ | {"position": np.diff(self.position, prepend=np.uint32(0))}
+        """As bytes; log-probabilities to LOG_BITS bits behind the point."""
+        moved = self.__dict__ | {"position": np.diff(self.position, prepend=np.uint32(0)), "log": np.rint(self.log * -(2.0**LOG_BITS)).astype(np.int64)}
         return pickle.dumps([(name, a.dtype.str, a.shape, _pack_planes(a.ravel()) if a.size else b"") for name, a in moved.items()])
 
     @classmethod
     def unpacked(cls, data: bytes) -> _State:
         """A state of `packed`; the bytes come from the tasks of the pass before."""
         found = {name: (_unpack_planes(b, dtype) if b else np.zeros(0, dtype)).reshape(shape) for name, dtype, shape, b in pickle.loads(data)}  # noqa: S301
-        found["position"] = np.cumsum(found["position"], dtype=np.uint32)
+        found |= {"position": np.cumsum(found["position"], dtype=np.uint32), "log": found["log"] / -(2.0**LOG_BITS)}
         return cls(**found)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +319,7 @@ def _asks_words(buckets: int):
     def run(blocks: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            tokens, vocabulary = _unpack(row["tokens"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
+            tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), np.frombuffer(row["vocabulary"], np.uint64)
             lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
             counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(vocabulary))
             counts[0] = training.sum()
@@ -323,24 +330,36 @@ def _asks_words(buckets: int):
     return run
 
 
-def _stepped(block: pa.Table, answers: pa.Table, depth: int, numbers: dict) -> _State:
-    """A block at `depth`, from itself and the counts of its words, or from its state one depth less and the answers to that."""
+def _opened(block: pa.Table, answers: pa.Table, depth: int, numbers: dict) -> _State:
+    """A block at `depth` with its n-grams: its state, or, where none is kept, the block itself taken down from the root
+    by the answers so far."""
     row = block.to_pylist()[0]
-    if depth == 1:
-        return _State.root(row, _answers(answers, 0)[0], numbers)
-    totals, flags = _answers(answers, 2 * depth - 3)[0], _answers(answers, 2 * depth - 2)[1]
-    return _State.unpacked(row["state"]).descend(totals, flags, numbers)
+    if "state" in row:
+        return _State.unpacked(row["state"])
+    state = _State.root(row, _answers(answers, 0)[0], numbers)
+    for d in range(1, depth):
+        state.grams()
+        state = state.descend(_answers(answers, 2 * d - 1)[0], _answers(answers, 2 * d)[1], numbers)
+    state.grams()
+    return state
+
+
+def _below(block: pa.Table, answers: pa.Table, depth: int, numbers: dict) -> _State:
+    """A block one depth on from `depth`, by the answers to that."""
+    return _opened(block, answers, depth, numbers).descend(_answers(answers, 2 * depth - 1)[0], _answers(answers, 2 * depth)[1], numbers)
 
 
 def _asks_grams(depth: int, buckets: int, numbers: dict):
-    """The odd steps: the n-grams of this depth, and the block's state."""
+    """The odd steps: the n-grams of this depth, and from KEPT_DEPTH on the block's state."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         if block.num_rows:
-            state, name = _stepped(block, answers, depth, numbers), block["block"][0].as_py()
+            name = block["block"][0].as_py()
+            state = _opened(block, answers, 1, numbers) if depth == 1 else _below(block, answers, depth - 1, numbers)
             out = [(*q, None, 0) for q in _questions(name, *state.grams(), buckets, _pack_counts)]
-            out.append((name, _KEPT, None, None, state.packed(), len(state.position)))
+            if depth >= KEPT_DEPTH:
+                out.append((name, _KEPT, None, None, state.packed(), len(state.position)))
         return _asked(out, _PASS)
 
     return run
@@ -352,8 +371,8 @@ def _asks_gains(depth: int, buckets: int, numbers: dict):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         if block.num_rows:
-            row = block.to_pylist()[0]
-            out = _questions(row["block"], *_State.unpacked(row["state"]).gains(*_answers(answers, 2 * depth - 1), numbers), buckets, _pack_gains)
+            found = _opened(block, answers, depth, numbers).gains(*_answers(answers, 2 * depth - 1), numbers)
+            out = _questions(block["block"][0].as_py(), *found, buckets, _pack_gains)
         return _asked(out, _ASK)
 
     return run
@@ -429,29 +448,33 @@ def scores(
 
     def answered(asked: DataFrame, step: int, depth: int) -> DataFrame:
         answers = asked.groupBy("bucket").applyInArrow(_totals(step, min_divergence), _ANSWER)
-        return kept(answers.repartition(parts, "block"), f"answers{depth}")
+        return kept(answers.repartition(parts, "block"), f"answers{max(depth, KEPT_DEPTH - 1)}")
 
     try:
         left = kept(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK), "blocks")
         total, training = left.agg(F.sum("n_tokens"), F.sum("n_training")).first()
         buckets = max(1, math.ceil((total or 0) / bucket_keys))
         numbers = {"tokens": float(training or 0), "words": 0.0, "min_count": min_count, "min_divergence": min_divergence, "strength": strength}
+        left = left.select("block", "tokens", "vocabulary", "lengths", "training", "doc_ids")
         answers = answered(left.groupBy("block").applyInArrow(_asks_words(buckets), _ASK), 0, 0)
         numbers["words"] = float(answers.agg(F.sum("n_distinct")).first()[0] or 0)
+        together = lambda f, schema: left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, schema)
         for d in range(1, depth + 1):
-            asked = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asks_grams(d, buckets, dict(numbers)), _PASS)
-            passed = kept(asked, f"pass{d}")
-            dropped("blocks", f"pass{d - 1}", f"answers{d - 1}")
-            left = passed.filter(F.col("bucket") == _KEPT).select("block", "state")
-            if not passed.agg(F.sum("n_active")).first()[0]:
-                answers = None
-                break
-            answers = answered(passed.filter(F.col("bucket") != _KEPT).select("block", "bucket", "keys", "amounts"), 2 * d - 1, d)
-            asked = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asks_gains(d, buckets, dict(numbers)), _ASK)
-            answers = answered(asked, 2 * d, d)
+            asked = together(_asks_grams(d, buckets, dict(numbers)), _PASS)
+            if d >= KEPT_DEPTH:
+                passed = kept(asked, f"pass{d}")
+                dropped("blocks", f"pass{d - 1}", f"answers{d - 1}")
+                left, asked = passed.filter(F.col("bucket") == _KEPT).select("block", "state"), passed.filter(F.col("bucket") != _KEPT)
+                if not passed.agg(F.sum("n_active")).first()[0]:
+                    answers = None
+                    break
+            answers = answered(asked.select("block", "bucket", "keys", "amounts"), 2 * d - 1, d)
+            answers = answered(together(_asks_gains(d, buckets, dict(numbers)), _ASK), 2 * d, d)
 
         def last(block: pa.Table, answered: pa.Table) -> pa.Table:
-            return _stepped(block, answered, depth + 1, numbers).scores(numbers) if block.num_rows else empty
+            if not block.num_rows:
+                return empty
+            return (_below(block, answered, depth, numbers) if depth else _opened(block, answered, 1, numbers)).scores(numbers)
 
         def settled(block: pa.Table) -> pa.Table:
             return _State.unpacked(block["state"][0].as_py()).scores(numbers)
