@@ -208,46 +208,75 @@ class Transducer:
         return [self.bytes[b] for b in part.encode()] if self.bytes else [self.unknown]
 
     def path(self, segment: str) -> list[int]:
-        """The pieces of the shortest path through the composition with one segment, of equal ones that which is found
-        first, as in the library's search. A segment of a merge model without a path of finite weight (the neighbours
-        of its pieces would not determine the merges) is merged outright."""
-        n, bpe, joins, scores = len(segment), self.bpe, self.joins, self.scores
-        cost, back, last = [0.0] + [math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        for start in range(n):
-            here = cost[start]
-            if here == math.inf:
-                continue
-            node, end, before = self.trie, start, last[start]
-            if segment[start] not in (node if bpe else self.ids) and here + (far := 0.0 if bpe else self.far) < cost[start + 1]:
-                cost[start + 1], back[start + 1], last[start + 1] = here + far, start, -1
+        """The pieces of the shortest path through the composition with one segment. A segment of a merge model without
+        a path of finite weight (the neighbours of its pieces would not determine the merges) is merged outright."""
+        parts = (self._first_path(segment) or self._merged(segment)[0]) if self.bpe else self._least_path(segment)
+        out = []
+        for part in parts:
+            piece = self.ids.get(part)
+            if piece is None:
+                out += self.fallback(part)
+            else:
+                out.append(piece)
+        return out
+
+    def _first_path(self, segment: str) -> list[str]:
+        """Of a merge model, best first: all finite weights are 0, so the first path that comes to the end is a shortest
+        one, and arcs that reach farthest are tried first. A position has one state at most, since what merging makes of
+        the text before it is one sequence; so none is entered twice."""
+        n, trie, joins = len(segment), self.trie, self.joins
+        last, came, todo, start, end = {0: -1}, {}, [], 0, 0
+        while end < n:
+            node, reach = trie, start
             for char in segment[start:]:
                 node = node.get(char)
                 if node is None:
                     break
-                end += 1
-                piece = node.get("")
-                if piece is None or (total := here if bpe else here - scores[piece]) >= cost[end]:
+                reach += 1
+                if "" in node and reach not in last:
+                    todo.append((start, reach, node[""]))
+            if reach == start and start + 1 not in last:  # no piece has this character
+                last[start + 1], came[start + 1] = -1, start
+                start = end = start + 1
+                continue
+            while todo:
+                start, end, piece = todo.pop()
+                if end in last:
                     continue
-                if bpe:
-                    if before >= 0:
-                        known = joins.get(before << 32 | piece)
-                        if not (self._joins(before, piece) if known is None else known):
-                            continue
-                    elif self._edge(piece, 0) is None:
-                        continue
-                cost[end], back[end], last[end] = total, start, piece
-        parts = []
-        if cost[n] == math.inf:
-            parts = self._merged(segment)[0][::-1]
-            n = 0
+                before = last[start]
+                if before < 0:
+                    known = self._edge(piece, 0) is not None
+                elif (known := joins.get(before << 32 | piece)) is None:
+                    known = self._joins(before, piece)
+                if known:
+                    last[end], came[end] = piece, start
+                    start = end
+                    break
+            else:
+                return []
+        out = []
         while n > 0:
-            parts.append(segment[back[n] : n])
-            n = back[n]
+            out.append(segment[came[n] : n])
+            n = came[n]
+        return out[::-1]
+
+    def _least_path(self, segment: str) -> list[str]:
+        """Of a unigram model, position by position: of equal paths that which the library's search finds first."""
+        n = len(segment)
+        cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        for start in range(n):
+            node, end = self.trie, start
+            if segment[start] not in self.ids and cost[start] + self.far < cost[start + 1]:
+                cost[start + 1], back[start + 1] = cost[start] + self.far, start
+            while end < n and (node := node.get(segment[end])) is not None:
+                end += 1
+                if "" in node and cost[start] - self.scores[node[""]] < cost[end]:
+                    cost[end], back[end] = cost[start] - self.scores[node[""]], start
         out = []
-        for part in reversed(parts):
-            piece = self.ids.get(part)
-            out += self.fallback(part) if piece is None else [piece]
-        return out
+        while n > 0:
+            out.append(segment[back[n] : n])
+            n = back[n]
+        return out[::-1]
 
     def _remember(self, segment: str) -> bytes:
         """The path of a segment that is not among the latest; what was used since the last turn stays for the next."""
