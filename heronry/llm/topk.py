@@ -240,7 +240,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, vec_id: str = "vec_i
         others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("home is null or shard <> home")
         trees = built.filter("tree is not null").select("shard", "tree", *(F.lit(None).cast("long").alias(c) for c in ("query", "query_id")), F.lit(None).cast("binary").alias("v"), *(F.lit(None).cast("long").alias(c) for c in ("floor", "floor_id")))
         both = trees.union(others.select("shard", F.lit(None).cast("binary").alias("tree"), "query", "query_id", "v", "floor", "floor_id"))
-        dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("tree").isNull())
+        dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("tree").isNull())
         first = first.union(dealt.mapInArrow(_searched(k), _HITS))
     ranks = first.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

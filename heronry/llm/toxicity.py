@@ -62,8 +62,8 @@ FEATURES = (
     "learned_density", "learned_log", "first", "second", "third", "strong_density", "strong_log", "strong_share_of_kinds", "strong_kinds_log", "sure_kinds",
 )
 
-#: Words without weight that a worker remembers for a lexicon, and word beginnings that it counts before it hands them on.
-REMEMBERED, COUNTED = 60_000, 150_000
+#: Words without weight that a worker remembers for a lexicon (twice so many), and word beginnings that it counts before it hands them on.
+REMEMBERED, COUNTED = 50_000, 150_000
 
 
 @dataclass
@@ -72,6 +72,7 @@ class Lexicon:
 
     stems: dict[str, float] = field(default_factory=dict)
     light: set[str] = field(default_factory=set)
+    older: set[str] = field(default_factory=set)
 
     def weight(self, word: str) -> float:
         return max([self.stems.get(word[:n], 0.0) for n in STEMS if n <= len(word)], default=0.0)
@@ -79,9 +80,9 @@ class Lexicon:
     def weights(self, words: set[str]) -> dict[str, float]:
         """Of the words that weigh anything."""
         new = words - self.light
-        found = {w: v for w in new if (v := self.weight(w))}
+        found = {w: v for w in new - self.older if (v := self.weight(w))}
         if len(self.light) > REMEMBERED:
-            self.light.clear()
+            self.light, self.older = set(), self.light
         self.light.update(new.difference(found))
         return found
 
