@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,7 +37,11 @@ CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x
 
 
 class Analyzer(Protocol):
-    """Turns a text column into an array of terms. `id` goes into snapshots and is compared on load."""
+    """Turns a text column into an array of terms. `id` goes into snapshots and is compared on load.
+
+    An analyzer that also has `body`, `split` and `keeps` (see StandardAnalyzer) is run over whole Arrow batches when an
+    index is built; the terms must be those of `document`.
+    """
 
     id: str
 
@@ -57,9 +65,25 @@ def latin_terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _pairs(text: Column) -> Column:
+    """All pairs of neighbouring code points, in one pass: each match looks at two and takes one."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(..))."), F.lit(1))
+
+
 def _bigrams(run: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-    return F.when(F.length(run) > 1, pairs).otherwise(F.array(run))
+    return F.when(F.length(run) > 1, _pairs(run)).otherwise(F.array(run))
+
+
+_IDEOGRAPHS = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", CJK)
+_RUNS = re.compile(f"[{_IDEOGRAPHS}]+|(?:(?![{_IDEOGRAPHS}])[^\\W_])+")
+
+
+def _mixed(body: str) -> list[str]:
+    """What `mixed_terms` gives for one text."""
+    out = []
+    for run in _RUNS.findall(body):
+        out += [run[i : i + 2] for i in range(len(run) - 1)] if re.match(f"[{_IDEOGRAPHS}]{{2}}", run) else [run]
+    return out
 
 
 def mixed_terms(text: Column) -> Column:
@@ -85,8 +109,26 @@ class StandardAnalyzer:
     def id(self) -> str:
         return f"standard/{len(self.stop_words)}/{self.max_term}/{'nfkc' if self.normalize else 'raw'}"
 
+    def body(self, text: Column) -> Column:
+        return F.lower(F.coalesce(nfkc(text) if self.normalize else text, F.lit("")))
+
+    def split(self, bodies: pa.Array) -> pa.Array:
+        """The terms of a batch of bodies, as lists; those that `keeps` refuses, empty ones too, are still among them."""
+        found = pc.split_pattern_regex(bodies, r"[^\p{L}\p{N}]+")
+        mixed = pc.match_substring_regex(bodies, f"[{CJK}]")
+        if not pc.any(mixed).as_py():
+            return found
+        lists = [_mixed(b) if m else t for b, m, t in zip(bodies.to_pylist(), mixed.to_pylist(), found.to_pylist(), strict=True)]
+        return pa.array(lists, pa.list_(pa.string()))
+
+    def keeps(self, terms: pa.Array) -> np.ndarray:
+        """Which of these terms are no stop words, not empty and not too long."""
+        length = pc.utf8_length(terms).to_numpy(zero_copy_only=False)
+        stop = pc.is_in(terms, pa.array(self.stop_words, pa.string())).to_numpy(zero_copy_only=False)
+        return (length > 0) & (length <= self.max_term) & ~stop
+
     def document(self, text: Column) -> Column:
-        body = F.lower(F.coalesce(nfkc(text) if self.normalize else text, F.lit("")))
+        body = self.body(text)
         terms = F.when(body.rlike(f"[{CJK}]"), mixed_terms(body)).otherwise(latin_terms(body))
         if not self.stop_words:
             return F.filter(terms, lambda t: F.length(t) <= self.max_term)
@@ -113,8 +155,7 @@ class LemmaAnalyzer:
 def char_bigrams(text: Column) -> Column:
     """The distinct pairs of neighbouring code points, white space removed."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))
-    return F.when(F.length(bare) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_pairs(bare))
 
 
 def coverage(part: Column, whole: Column) -> Column:

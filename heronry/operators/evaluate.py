@@ -15,6 +15,7 @@ from .lanes import idf, matched, query_terms, ranked, term_weight
 
 #: Differences this small are ties.
 DEAD_ZONE = 1e-12
+THETAS = tuple(round(0.05 * i, 2) for i in range(21))
 K1_GRID, B_GRID = (1.0, 1.2, 1.5, 2.0), (0.3, 0.5, 0.75, 0.9)
 #: Of equally good cells the one nearest to these wins.
 CENTRE = (1.2, 0.75)
@@ -123,6 +124,56 @@ def theta_sweep(full: DataFrame, without: DataFrame, signal: DataFrame, thetas:
     return grid.groupBy("theta").agg(F.count(F.when(switched, 1)).alias("n_switched"), F.avg(F.when(switched, F.col("y") - F.col("x")).otherwise(0.0)).alias("delta"))
 
 
+def bucket_sweep(full: DataFrame, without: DataFrame, signals: DataFrame, buckets: DataFrame, thetas: tuple[float, ...] = THETAS, metric: str = "mrr") -> DataFrame:
+    """(signal, theta, type, n, delta): the mean change of a metric, by bucket of queries and (type null) for all, if
+    queries whose signal is below theta take the second run.
+
+    `signals` has (signal, qid, value), `buckets` (qid, type). Queries without a value keep the first run. One pass for
+    all signals and the whole grid.
+    """
+    pairs = full.select("qid", F.col(metric).alias("x")).join(without.select("qid", F.col(metric).alias("y")), "qid").join(buckets.select("qid", "type"), "qid")
+    names = signals.select("signal").distinct()
+    cells = pairs.join(F.broadcast(names)).join(signals, ["signal", "qid"], "left")  # a row per kind of signal
+    cells = cells.withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
+    change = F.when(F.col("value") < F.col("theta"), F.col("y") - F.col("x")).otherwise(0.0)
+    grouped = cells.withColumn("change", change).groupingSets([["signal", "theta", "type"], ["signal", "theta"]], "signal", "theta", "type")
+    return grouped.agg(F.count("*").alias("n"), F.avg("change").alias("delta"))
+
+
+def gates(swept: DataFrame, gain: str = "paraphrase", least_gain: float = 0.01, least_other: float = -0.0024, least_all: float = 0.0, points: int = 3) -> DataFrame:
+    """(signal, theta, gain_ok, others_ok, all_ok, passed, run, adopt) from `bucket_sweep`.
+
+    A cell passes if the bucket `gain` improves by `least_gain`, no other bucket falls below `least_other` and all
+    queries together do not fall below `least_all`; a bucket without queries never passes. `run` is how many neighbours
+    on the grid pass without a break, and a signal is to be adopted where that is `points` or more: a single good point
+    does not count.
+    """
+    low = F.col("delta") + DEAD_ZONE
+    least = lambda own, bound: F.coalesce(F.min(F.when(own, low >= bound)), F.lit(False))
+    kind = F.col("type")
+    cells = swept.groupBy("signal", "theta").agg(
+        least(kind == gain, least_gain).alias("gain_ok"), least(kind != gain, least_other).alias("others_ok"), least(kind.isNull(), least_all).alias("all_ok"),
+    )
+    cells = cells.withColumn("passed", F.col("gain_ok") & F.col("others_ok") & F.col("all_ok"))
+    by, same = Window.partitionBy("signal").orderBy("theta"), Window.partitionBy("signal", "passed").orderBy("theta")
+    island = cells.withColumn("island", F.row_number().over(by) - F.row_number().over(same))
+    run = F.count("*").over(Window.partitionBy("signal", "passed", "island"))
+    island = island.withColumn("run", F.when(F.col("passed"), run).otherwise(0))
+    return island.withColumn("adopt", F.max("run").over(Window.partitionBy("signal")) >= points).drop("island")
+
+
+def check_sweep(swept: DataFrame, expected: int = 4) -> None:
+    """Raises InvalidInput where a sweep proves nothing: fewer buckets than expected, buckets of different sizes, or a
+    change at theta 0, at which no query is switched."""
+    rows = swept.filter("theta = 0").collect()  # a row per signal and bucket
+    for signal in {r.signal for r in rows}:
+        own = [r for r in rows if r.signal == signal and r.type is not None]
+        if len(own) != expected or len({r.n for r in own}) > 1:
+            raise InvalidInput(f"{signal}: buckets are not {expected} of one size: {sorted((r.type, r.n) for r in own)}")
+    if wrong := [r for r in rows if abs(r.delta) > DEAD_ZONE]:
+        raise InvalidInput(f"a change without a switched query: {wrong[0]}")
+
+
 def jitter(runs: DataFrame, metric: str = "ndcg") -> DataFrame:
     """One row: the spread (largest - smallest) of the mean metric over runs (run, metric)."""
     return runs.groupBy("run").agg(F.avg(metric).alias("m")).agg((F.max("m") - F.min("m")).alias("spread"))

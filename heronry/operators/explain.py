@@ -14,16 +14,11 @@ def matched_terms(query: Column, text: Column, analyzer: Analyzer | None = None)
     return F.array_sort(F.array_intersect(a.query(query), a.document(text)))
 
 
-def explained(hits: DataFrame, bm25: DataFrame | None, vector: DataFrame | None) -> DataFrame:
-    """`hits` with the score and rank that each lane gave them, and their own as fused_score."""
-    out = hits.withColumn("fused_score", F.col("score"))
-    for name, lane in (("bm25", bm25), ("vector", vector)):
-        if lane is None:
-            out = out.withColumn(f"{name}_score", F.lit(None).cast("double")).withColumn(f"{name}_rank", F.lit(None).cast("int"))
-        else:
-            given = lane.select("qid", "chunk_id", F.col("score").alias(f"{name}_score"), F.col("rank").alias(f"{name}_rank"))
-            out = out.join(given, ["qid", "chunk_id"], "left")
-    return out
+def of_one_lane(hits: DataFrame, lexical: bool) -> DataFrame:
+    """`hits` of a single lane with its score and rank as that lane's, and none of the other's."""
+    own, other = ("bm25", "vector") if lexical else ("vector", "bm25")
+    none = {f"{other}_score": F.lit(None).cast("double"), f"{other}_rank": F.lit(None).cast("int")}
+    return hits.withColumns({f"{own}_score": F.col("score"), f"{own}_rank": F.col("rank")} | none)
 
 
 def context_block(source: Column, text: Column, terms: Column) -> Column:

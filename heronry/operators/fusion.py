@@ -29,18 +29,23 @@ def cyclic_weight(weights: tuple[float, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("lane_idx") % len(weights) + 1).cast("int"))
 
 
-def rrf(lanes: DataFrame, k: int = 10, rrf_k: int = RRF_K, weights: tuple[float, ...] = WEIGHTS, weight: Column | None = None) -> DataFrame:
-    """Sum of weight / (rrf_k + rank) over the lanes that have the chunk."""
+def lane_columns() -> list[Column]:
+    """The score and rank that lanes 0 (bm25) and 1 (vector) gave a chunk, from the aggregation that fuses them."""
+    return [F.max(F.when(F.col("lane_idx") == i, F.col(c))).alias(f"{name}_{c}") for i, name in enumerate(("bm25", "vector")) for c in ("score", "rank")]
+
+
+def rrf(lanes: DataFrame, k: int = 10, rrf_k: int = RRF_K, weights: tuple[float, ...] = WEIGHTS, weight: Column | None = None, given: bool = False) -> DataFrame:
+    """Sum of weight / (rrf_k + rank) over the lanes that have the chunk; with `given`, what `lane_columns` tells."""
     share = (cyclic_weight(weights) if weight is None else weight) / (rrf_k + F.col("rank"))
-    return ranked(lanes.groupBy("qid", "chunk_id").agg(F.sum(share).alias("score")), k)
+    return ranked(lanes.groupBy("qid", "chunk_id").agg(F.sum(share).alias("score"), *(lane_columns() if given else ())), k)
 
 
-def weighted(lanes: DataFrame, k: int = 10, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def weighted(lanes: DataFrame, k: int = 10, weights: tuple[float, ...] = WEIGHTS, given: bool = False) -> DataFrame:
     """Scores divided by their lane's first one, weighted by lane; lanes beyond the weights count 1."""
     top = lanes.filter("rank = 1").select("qid", "lane_idx", F.when(F.abs("score") < TINY, 1.0).otherwise(F.col("score")).alias("top"))
     w = reduce(lambda c, iw: c.when(F.col("lane_idx") == iw[0], float(iw[1])), enumerate(weights[1:], 1), F.when(F.col("lane_idx") == 0, float(weights[0]))) if weights else F.lit(1.0)
     part = (F.coalesce(w, F.lit(1.0)) if weights else w) * F.col("score") / F.col("top")
-    return ranked(lanes.join(top, ["qid", "lane_idx"]).groupBy("qid", "chunk_id").agg(F.sum(part).alias("score")), k)
+    return ranked(lanes.join(top, ["qid", "lane_idx"]).groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"), *(lane_columns() if given else ())), k)
 
 
 def overlap_signal(lanes: DataFrame, top_k: int) -> DataFrame:
@@ -62,10 +67,10 @@ def shape_signal(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.col("query").rlike("[A-Za-z0-9]").cast("double").alias("signal"))
 
 
-def adaptive_rrf(lanes: DataFrame, signal: DataFrame, theta: float, k: int = 10, rrf_k: int = RRF_K, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def adaptive_rrf(lanes: DataFrame, signal: DataFrame, theta: float, k: int = 10, rrf_k: int = RRF_K, weights: tuple[float, ...] = WEIGHTS, given: bool = False) -> DataFrame:
     """RRF in which lane 0 counts nothing where the signal is below theta; what only it found stays, with score 0."""
     weight = F.when((F.col("lane_idx") == 0) & (F.col("signal") < theta), 0.0).otherwise(cyclic_weight(weights))
-    return rrf(lanes.join(signal, "qid", "left"), k, rrf_k, weight=weight)
+    return rrf(lanes.join(signal, "qid", "left"), k, rrf_k, weight=weight, given=given)
 
 
 def multi_query(lanes: DataFrame, groups: DataFrame, k: int = 10, rrf_k: int = RRF_K, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
 from ..functions.text import Analyzer, StandardAnalyzer
+from ..sources.scratch import kept
 
 CHUNK, OVERLAP = 512, 64
 #: A document of fewer code points is one chunk in single-chunk mode.
@@ -48,7 +51,8 @@ def windows(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[
 
 
 def chunk(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ordinal, char_start, char_end, text) of every chunk, offsets in code points; empty texts have none.
+    """(doc_id, ordinal, char_start, char_end, text) of every chunk, offsets in code points (`byte_offsets` has those in
+    bytes); empty texts have none.
 
     Texts without a paragraph break are cut in closed form in the JVM; only the others go through Python.
     """
@@ -75,6 +79,16 @@ def chunk(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, doc_id: st
     return plain.unionByName(rows.filter(broken).mapInPandas(cut, f"doc_id {kind}, ordinal int, char_start int, char_end int, text string"))
 
 
+def byte_offsets(chunks: DataFrame) -> DataFrame:
+    """`chunks` (doc_id, ordinal, char_start, text) with byte_start and byte_end: where each stands in the UTF-8 of its
+    document. Every chunk counts its bytes up to the next one's start; no text is measured more than once."""
+    by = Window.partitionBy("doc_id").orderBy("ordinal")
+    marked = chunks.withColumn("__ahead", F.lead("char_start").over(by) - F.col("char_start"))
+    sized = marked.withColumn("__bytes", F.octet_length(F.expr("CASE WHEN __ahead IS NULL THEN text ELSE substring(text, 1, __ahead) END")))
+    start = F.coalesce(F.sum("__bytes").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    return sized.withColumn("byte_start", start).withColumn("byte_end", F.col("byte_start") + F.octet_length("text")).drop("__ahead", "__bytes")
+
+
 def content_hash(docs: DataFrame, text: str = "text", dedup_key: str | None = None) -> DataFrame:
     """`docs` with content_hash, of the dedup key where there is one and of the text elsewhere; 0 is never a duplicate."""
     source = F.coalesce(F.col(dedup_key), F.col(text)) if dedup_key else F.col(text)
@@ -98,19 +112,57 @@ def terms(chunks: DataFrame, analyzer: Analyzer | None = None, chunk_id: str = "
     return chunks.select(F.col(chunk_id).cast("long").alias("chunk_id"), F.posexplode(analyzed).alias("position", "term"))
 
 
+def analyzed(chunks: DataFrame, analyzer: Analyzer | None = None, positions: bool = False, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(chunk_id, dl, terms): the forward index, a row per chunk, with its distinct terms as (term, tf[, positions]).
+
+    A chunk's terms all stand in its row, so they are counted there, in whole Arrow batches, and nothing is shuffled;
+    postings and lengths are both read from this table. Texts without terms have an empty array.
+    """
+    kind = "array<struct<term: string, tf: long" + (", positions: array<int>>>" if positions else ">>")
+    analyzer = analyzer or StandardAnalyzer()
+    whole = hasattr(analyzer, "split")  # else the JVM has made the lists
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = analyzer.split(batch.column(1)) if whole else batch.column(1)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            codes, kinds = coded.indices.to_numpy(), max(len(coded.dictionary), 1)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            if whole:
+                good = analyzer.keeps(coded.dictionary)[codes]
+                codes, row = codes[good], row[good]
+                sizes = np.bincount(row, minlength=len(sizes))
+            key = row * kinds + codes
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            tf = np.diff(np.append(starts, len(key)))
+            fields = [coded.dictionary.take(pa.array(key[starts] % kinds)), pa.array(tf, pa.int64())]
+            if positions:
+                place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                fields.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(place[order], pa.int32())))
+            edges = np.searchsorted(key[starts] // kinds, np.arange(len(sizes) + 1))
+            structs = pa.StructArray.from_arrays(fields, ["term", "tf", "positions"][: len(fields)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), structs)], ["chunk_id", "dl", "terms"])
+
+    found = analyzer.body(F.col(text)) if whole else analyzer.document(F.col(text))
+    return chunks.select(F.col(chunk_id).cast("long").alias("chunk_id"), found.alias("found")).mapInArrow(count, f"chunk_id long, dl long, terms {kind}")
+
+
+def posted(forward: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf[, positions]) of a forward index."""
+    return forward.select("chunk_id", F.inline("terms"))
+
+
 def postings(chunks: DataFrame, analyzer: Analyzer | None = None, positions: bool = False, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(chunk_id, term, tf[, positions]). A text is analyzed once, its terms are counted map-side."""
-    found = terms(chunks, analyzer, chunk_id, text)
-    counts = [F.count("*").alias("tf")]
-    if positions:
-        counts.append(F.array_sort(F.collect_list("position")).alias("positions"))
-    return found.groupBy("chunk_id", "term").agg(*counts)
+    """(chunk_id, term, tf[, positions])."""
+    return posted(analyzed(chunks, analyzer, positions, chunk_id, text))
 
 
 def lengths(chunks: DataFrame, analyzer: Analyzer | None = None, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(chunk_id, dl) of every chunk, those without terms included."""
-    analyzed = (analyzer or StandardAnalyzer()).document(F.col(text))
-    return chunks.select(F.col(chunk_id).cast("long").alias("chunk_id"), F.size(analyzed).cast("long").alias("dl"))
+    return analyzed(chunks, analyzer, False, chunk_id, text).select("chunk_id", "dl")
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -149,7 +201,7 @@ def renumber(rows: DataFrame, key: str, to: str) -> DataFrame:
     more than its share. The partition sizes are the one thing that goes to the driver.
     """
     ordered = rows.sort(key).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ordered.cache()
+    ordered = kept(ordered, "ordered")  # sorted anew, rows could lie in other partitions
     first = ordered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = first.select("__part", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import GraphStale, InvalidInput
+from ..errors import DimensionMismatch, GraphStale, InvalidInput, SnapshotCorrupted
 from ..functions.text import Analyzer, StandardAnalyzer
 from ..functions.vectors import normalize
 
@@ -24,8 +24,8 @@ RANK_DIGITS = 9
 EXACT_BELOW = 8_192
 #: Vectors and queries of one block of the exact search.
 VECTOR_BLOCK, QUERY_BLOCK = 8_192, 1_024
-#: The share of an approximate index's lists that a query reads.
-PROBES = 0.7
+#: The recall at 10 that an approximate index reads as many lists for as its sample needs.
+RECALL = 0.95
 
 
 def ranked(scored: DataFrame, k: int | None, by: tuple[str, ...] = ("qid",), score: str = "score") -> DataFrame:
@@ -119,12 +119,19 @@ def exact_vectors(queries: DataFrame, vectors: DataFrame, k: int, candidates: Da
     asked = _packed(queries.select("qid", "qvec"), "qid", "qvec", QUERY_BLOCK).select(F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.col("dim").alias("qdim"))
     held = _packed(rows.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector"), "chunk_id", "vector", VECTOR_BLOCK)
 
+    pairs = held.crossJoin(asked)
+    return ranked(pairs.mapInArrow(_multiplied(k), f"qid {kind}, chunk_id long, score double"), k)
+
+
+def _multiplied(k: int):
+    """Pairs of a block of vectors and a block of queries: the best k of each query."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 pair = batch.slice(row, 1).to_pylist()[0]
-                if pair["dim"] != pair["qdim"]:
-                    raise InvalidInput(f"queries have {pair['qdim']} dimensions, vectors {pair['dim']}")
+                if pair["dim"] != (asked := pair.get("qdim", pair["dim"])):
+                    raise InvalidInput(f"queries have {asked} dimensions, vectors {pair['dim']}")
                 q, v = (np.frombuffer(pair[c], np.float64).reshape(-1, pair["dim"]) for c in ("qdata", "data"))
                 ids = np.array(pair["ids"])
                 scores = q @ v.T
@@ -134,8 +141,7 @@ def exact_vectors(queries: DataFrame, vectors: DataFrame, k: int, candidates: Da
                     ["qid", "chunk_id", "score"],
                 )
 
-    pairs = held.crossJoin(asked)
-    return ranked(pairs.mapInArrow(search, f"qid {kind}, chunk_id long, score double"), k)
+    return search
 
 
 def route(filtered: bool, allowed: int, exact_below: int = EXACT_BELOW) -> str:
@@ -150,18 +156,21 @@ def overall_route(routes: list[str]) -> str:
 
 
 class IvfIndex:
-    """Approximate search: vectors by nearest centroid, and only the `probes` nearest lists of a query are read (PROBES
-    of all lists, where none are given; vectors without clusters need that many for a recall of 0.9).
+    """Approximate search: vectors lie in lists by their nearest centroid, and of each query only the `probes` nearest
+    lists are read, block against block, as matrix products.
 
-    Centroids are fitted on a bounded sample (`sample` rows of the smallest hashes), every row is indexed. Recall
-    depends on the data; tests hold it against the exact lane.
+    Centroids are fitted on a bounded sample (`sample` rows of the smallest hashes), every row is indexed. How many lists
+    a query reads is measured on that sample: as many as it takes for a recall of `recall` at 10 among its own rows.
+    Clustered vectors need a few lists, vectors without clusters most of them.
     """
 
-    def __init__(self, vectors: DataFrame, lists: int | None = None, sample: int = 20_000, rounds: int = 8) -> None:
-        unit = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), normalize(F.col("vector")).alias("vector"))
+    def __init__(self, vectors: DataFrame, lists: int | None = None, sample: int = 20_000, rounds: int = 8, recall: float = RECALL) -> None:
+        unit = vectors.filter("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), normalize(F.col("vector")).alias("vector"))
         rows = unit.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("vector").collect()
         if not rows:
             raise InvalidInput("no vectors to index")
+        if len({len(r[0]) for r in rows}) > 1:
+            raise InvalidInput("vectors of several lengths")
         x = np.array([r[0] for r in rows])
         lists = min(len(x), lists or max(1, math.isqrt(len(x))))
         self.centroids = x[:lists].copy()
@@ -171,23 +180,48 @@ class IvfIndex:
                 if (mine := x[own == i]).size:
                     mean = mine.mean(0)
                     self.centroids[i] = mean / max(float(np.linalg.norm(mean)), 1e-12)
+        self.probes = self._measured(x, recall)
         self.rows = self._assign(unit, "chunk_id", "vector", 1)
 
+    def _measured(self, x: np.ndarray, recall: float, asked: int = 256, k: int = 10) -> int:
+        """The least number of lists with that recall, for rows of the sample as queries."""
+        own = (x @ self.centroids.T).argmax(1)
+        queries = x[:asked]
+        scores = queries @ x.T
+        scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf  # a query does not find itself
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        if not best.size:
+            return len(self.centroids)
+        place = np.argsort(np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        needed = np.sort(np.take_along_axis(place, own[best], 1).ravel())
+        return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
+
+    def _check(self) -> tuple[int, int, str]:
+        """Dimension, number of rows and a checksum over them."""
+        total = self.rows.agg(F.count("*"), F.sum(F.xxhash64("chunk_id", "vector", "list").cast("decimal(38,0)"))).first()
+        return self.centroids.shape[1], total[0], str(total[1])
+
     def save(self, path: str, generation: int) -> None:
         """As a table of a snapshot's generation: a cache that can be made again."""
         spark = self.rows.sparkSession
         self.rows.write.parquet(f"{path}/rows")
-        found = [(i, generation, c.tolist()) for i, c in enumerate(self.centroids)]
-        spark.createDataFrame(found, "list int, generation long, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+        dim, n, checksum = self._check()
+        found = [(i, generation, self.probes, dim, n, checksum, c.tolist()) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(found, "list int, generation long, probes int, dim int, n long, checksum string, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, generation: int) -> IvfIndex:
-        """Raises GraphStale if it belongs to another generation."""
+    def load(cls, spark: SparkSession, path: str, generation: int, dim: int | None = None) -> IvfIndex:
+        """Raises GraphStale if it belongs to another generation or has another dimension, SnapshotCorrupted if its rows
+        are not those that were saved."""
         found = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # at most the square root of the sample
         if {r.generation for r in found} != {generation}:
             raise GraphStale(f"{path} is not of generation {generation}")
+        if dim is not None and {r.dim for r in found} != {dim}:
+            raise GraphStale(f"{path} has vectors of {found[0].dim} dimensions, not {dim}")
         made = cls.__new__(cls)
-        made.centroids, made.rows = np.array([r.centroid for r in found]), spark.read.parquet(f"{path}/rows")
+        made.centroids, made.probes, made.rows = np.array([r.centroid for r in found]), found[0].probes, spark.read.parquet(f"{path}/rows")
+        if made._check() != (found[0].dim, found[0].n, found[0].checksum):
+            raise SnapshotCorrupted(f"{path} does not have the rows that were saved")
         return made
 
     def _assign(self, rows: DataFrame, ident: str, vector: str, n: int) -> DataFrame:
@@ -197,8 +231,10 @@ class IvfIndex:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                if len(x) != batch.num_rows * centroids.shape[1]:
+                    raise DimensionMismatch(f"the index has {centroids.shape[1]} dimensions")
+                near = np.argsort(-(x.reshape(batch.num_rows, -1) @ centroids.T), axis=1, kind="stable")[:, :n].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], [ident, vector, "lists"])
 
         kind = dict(rows.dtypes)
@@ -206,12 +242,29 @@ class IvfIndex:
         return found.select(ident, vector, F.explode("lists").alias("list"))
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
+        """(qid, chunk_id, score, rank) of the k nearest in each query's `probes` nearest lists (as measured, if none are
+        given). Lists larger than VECTOR_BLOCK are cut, so that a crowded one is the work of many tasks."""
         asked = queries.filter("qvec is not null").select("qid", normalize(F.col("qvec")).alias("qvec"))
         rows = self.rows if candidates is None else self.rows.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
-        probes = probes or math.ceil(PROBES * len(self.centroids))
-        pairs = self._assign(asked, "qid", "qvec", probes).join(rows, "list")
-        score = F.aggregate(F.zip_with("qvec", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return ranked(pairs.select("qid", "chunk_id", score.alias("score")), k)
+        placed = self._assign(asked, "qid", "qvec", min(probes or self.probes, len(self.centroids)))
+        kind = dict(queries.dtypes)["qid"]
+        held, wanted = _blocked(rows, "chunk_id", "vector", "long", VECTOR_BLOCK), _blocked(placed, "qid", "qvec", kind, QUERY_BLOCK)
+        wanted = wanted.select("list", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+        pairs = held.join(wanted, "list").select("ids", "data", "qids", "qdata", F.lit(self.centroids.shape[1]).alias("dim"))
+        return ranked(pairs.mapInArrow(_multiplied(k), f"qid {kind}, chunk_id long, score double"), k)
+
+
+def _blocked(rows: DataFrame, ident: str, vector: str, kind: str, size: int) -> DataFrame:
+    """(list, ids, data): the rows of each list in blocks of about `size`."""
+    counts = rows.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(counts), "list").withColumn("block", F.pmod(F.xxhash64(ident), F.col("blocks")))  # a row per list
+
+    def pack(table: pa.Table) -> pa.Table:
+        values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[vector].chunks])
+        ids = pa.array([table[ident].to_pylist()], pa.list_(table.schema.field(ident).type))
+        return pa.table({"list": pa.array(table["list"][:1].to_pylist(), pa.int32()), "ids": ids, "data": pa.array([values.tobytes()], pa.binary())})
+
+    return dealt.groupBy("list", "block").applyInArrow(pack, f"list int, ids array<{kind}>, data binary")
 
 
 def overlap_at_k(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

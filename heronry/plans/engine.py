@@ -127,18 +127,19 @@ class Searcher:
         return lanes.route(True, allowed.limit(lanes.EXACT_BELOW + 1).count())
 
     def _fused(self, queries: DataFrame, lexical: DataFrame | None, vector: DataFrame | None, groups: DataFrame | None, n: int) -> DataFrame:
+        """The fused hits, with what each lane gave them unless queries are grouped; every lane is read once."""
         found = [lane for lane in (lexical, vector) if lane is not None]
         if groups is None and len(found) == 1:
-            return found[0].filter(F.col("rank") <= n)  # one lane keeps its scores
+            return explain.of_one_lane(found[0].filter(F.col("rank") <= n), lexical is not None)  # it keeps its scores
         named = [(i, lane) for i, lane in enumerate((lexical, vector)) if lane is not None]
         every = reduce(DataFrame.unionByName, (lane.select("qid", F.lit(i).alias("lane_idx"), "chunk_id", "score", "rank") for i, lane in named))
         if groups is not None:
             return fusion.multi_query(every, groups, n, self.rrf_k, self.weights)
         if self.adaptive:
-            return fusion.adaptive_rrf(every, self.signal(queries, every), self.adaptive.theta, n, self.rrf_k, self.weights)
+            return fusion.adaptive_rrf(every, self.signal(queries, every), self.adaptive.theta, n, self.rrf_k, self.weights, given=True)
         if self.normalized:
-            return fusion.weighted(every, n, self.weights)
-        return fusion.rrf(every, n, self.rrf_k, self.weights)
+            return fusion.weighted(every, n, self.weights, given=True)
+        return fusion.rrf(every, n, self.rrf_k, self.weights, given=True)
 
     def signal(self, queries: DataFrame, every: DataFrame) -> DataFrame:
         match self.adaptive.signal:
@@ -162,11 +163,10 @@ class Searcher:
         n = 0 if k == 0 else max(k, rerank_window, post_window)
         lexical, vector = self.lanes(queries, mode, budget, where)
         hits = self._fused(queries, lexical, vector, groups, n)
+        hits = hits.withColumn("fused_score", F.col("score"))
         if groups is None:
-            hits = explain.explained(hits, lexical, vector)
             asked = queries.select("qid", "query")
         else:
-            hits = hits.withColumn("fused_score", F.col("score"))
             asked = groups.join(queries, "qid").groupBy("gid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("position", "query")))["query"], " ").alias("query")).withColumnRenamed("gid", "qid")
         found = hits.join(self.index.chunks.select("chunk_id", "doc_id", "text"), "chunk_id").join(self.index.docs.select("doc_id", "source", "metadata"), "doc_id")
         for name, column in self.hit_columns.items():

@@ -11,6 +11,7 @@ from ..errors import ChunkNotFound, ConfigMismatch, InvalidInput
 from ..functions import filters
 from ..functions.text import Analyzer, StandardAnalyzer
 from ..operators import ingest
+from ..sources.scratch import kept
 
 DOCS = "doc_id long, source string, metadata string, content_hash long"
 CHUNKS = "chunk_id long, doc_id long, ordinal int, text string, char_start int, char_end int"
@@ -56,6 +57,16 @@ class Index:
     vectors: DataFrame | None = None
     tombstones: DataFrame | None = None
     config: Config = field(default_factory=Config)
+    #: The table (chunk_id, dl, terms) that postings and lengths are read from, where there is one.
+    forward: DataFrame | None = None
+
+    @classmethod
+    def of_tables(cls, docs: DataFrame, chunks: DataFrame, config: Config, vectors: DataFrame | None = None) -> Index:
+        """With the terms of the chunks counted; texts are analyzed each time they are read, until `saved`."""
+        return cls(docs, chunks, None, None, vectors, config=config)._over(ingest.analyzed(chunks, config.analyzer))
+
+    def _over(self, forward: DataFrame) -> Index:
+        return replace(self, postings=ingest.posted(forward), lengths=forward.select("chunk_id", "dl"), forward=forward)
 
     @classmethod
     def build(cls, docs: DataFrame, config: Config | None = None, first_doc: int = 0, first_chunk: int = 0, live: DataFrame | None = None, order: str = "doc_id") -> Index:
@@ -71,10 +82,7 @@ class Index:
         cut = ingest.chunk(numbered, config.chunk, config.overlap)
         chunks = ingest.renumber(cut.withColumn("__place", F.struct("doc_id", "ordinal")), "__place", "chunk_id").withColumn("chunk_id", F.col("chunk_id") + first_chunk)
         chunks = chunks.select("chunk_id", "doc_id", "ordinal", "text", "char_start", "char_end")
-        return cls(
-            numbered.select("doc_id", "source", "metadata", "content_hash"), chunks, ingest.postings(chunks, config.analyzer),
-            ingest.lengths(chunks, config.analyzer), config=config,
-        )
+        return cls.of_tables(numbered.select("doc_id", "source", "metadata", "content_hash"), chunks, config)
 
     @classmethod
     def of_texts(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: Column | None = None, metadata: Column | None = None, vectors: DataFrame | None = None, config: Config | None = None) -> Index:
@@ -87,11 +95,11 @@ class Index:
             F.xxhash64(text).alias("content_hash"),
         )
         chunks = docs.select(ident.alias("chunk_id"), ident.alias("doc_id"), F.lit(0).alias("ordinal"), body.alias("text"), F.lit(0).alias("char_start"), F.length(body).alias("char_end"))
-        return cls(rows, chunks, ingest.postings(chunks, config.analyzer), ingest.lengths(chunks, config.analyzer), vectors, config=config)
+        return cls.of_tables(rows, chunks, config, vectors)
 
-    def cached(self) -> Index:
-        """Postings and lengths kept, so that texts are analyzed once for many queries."""
-        return replace(self, postings=self.postings.persist(), lengths=self.lengths.persist())
+    def saved(self) -> Index:
+        """The forward index written to the shared folder, so that texts are analyzed once for all queries."""
+        return self if self.forward is None else self._over(kept(self.forward, "forward"))
 
     def candidates(self, where: filters.Filter | None = None, columns: dict[str, Column] | None = None) -> DataFrame | None:
         """(chunk_id) of live chunks whose document passes, or None if all do."""
@@ -120,7 +128,7 @@ class Index:
         vectors = self.vectors if other.vectors is None else other.vectors if self.vectors is None else self.vectors.unionByName(other.vectors)
         dead = self.tombstones if other.tombstones is None else other.tombstones if self.tombstones is None else self.tombstones.unionByName(other.tombstones).distinct()
         return replace(
-            self, docs=self.docs.unionByName(other.docs), chunks=self.chunks.unionByName(other.chunks), postings=self.postings.unionByName(other.postings),
+            self, forward=None, docs=self.docs.unionByName(other.docs), chunks=self.chunks.unionByName(other.chunks), postings=self.postings.unionByName(other.postings),
             lengths=self.lengths.unionByName(other.lengths), vectors=vectors, tombstones=dead,
         )
 
@@ -135,7 +143,7 @@ class Index:
             return self
         docs, chunks = ingest.alive(self.docs, self.tombstones), ingest.alive(self.chunks, self.tombstones)
         keep = lambda t: None if t is None else t.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        return replace(self, docs=docs, chunks=chunks, postings=keep(self.postings), lengths=keep(self.lengths), vectors=keep(self.vectors), tombstones=None)
+        return replace(self, forward=None, docs=docs, chunks=chunks, postings=keep(self.postings), lengths=keep(self.lengths), vectors=keep(self.vectors), tombstones=None)
 
     def compacted(self) -> Index:
         """Merged, with documents and chunks numbered 0, 1, 2, ... in their old order; without tombstones, itself."""
@@ -150,7 +158,7 @@ class Index:
 
         chunk = lambda t: moved(t, chunk_ids, "chunk_id", "new_chunk")
         return replace(
-            m, docs=moved(m.docs, doc_ids, "doc_id", "new_doc"), chunks=chunk(moved(m.chunks, doc_ids, "doc_id", "new_doc")), postings=chunk(m.postings), lengths=chunk(m.lengths),
+            m, forward=None, docs=moved(m.docs, doc_ids, "doc_id", "new_doc"), chunks=chunk(moved(m.chunks, doc_ids, "doc_id", "new_doc")), postings=chunk(m.postings), lengths=chunk(m.lengths),
             vectors=chunk(m.vectors),
         )
 

@@ -6,9 +6,9 @@ The corpus is `documents`, one chunk each, with `embeddings` as vectors of the c
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from .operators import evaluate, explain, fusion, ingest, lanes, post
 from .plans.engine import Adaptive, Mode, Searcher
 from .plans.index import Index
 from .sources import files
+from .sources.scratch import kept, scratch_dir
 from .sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +58,24 @@ def _queries(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> Dat
     return asked.join(_vectors(spark, sf_dir).select(F.col("chunk_id").alias("qid"), F.col("vector").alias("qvec")), "qid", "left")
 
 
-def _index(spark: SparkSession, sf_dir: str, **options) -> Index:
+def _build(spark: SparkSession, sf_dir: str) -> Index:
     meta = F.to_json(F.struct("lang", "source", "n_chars"))
     docs = _docs(spark, sf_dir)
     held = _vectors(spark, sf_dir).join(docs.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
-    return Index.of_texts(docs, source=F.col("source"), metadata=meta, vectors=held, **options)
+    return Index.of_texts(docs, source=F.col("source"), metadata=meta, vectors=held)
+
+
+_opened: dict[tuple, Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of a folder's documents, whose forward table is written by the first query of a session that needs it
+    and read by the others, as long as the documents stay the files they were."""
+    found = files.stamps(spark, f"{sf_dir}/documents.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, found)
+    if key not in _opened:
+        _opened[key] = _build(spark, sf_dir).saved()
+    return _opened[key]
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -133,8 +147,8 @@ def _both_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql(f"t AS (SELECT doc_id, {_terms('text')} AS terms FROM documents)", select="SELECT doc_id, len(terms)::INTEGER AS n_terms, len(list_distinct(terms))::INTEGER AS n_distinct FROM t"))
 def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _docs(spark, sf_dir).select("doc_id", text.StandardAnalyzer().document(F.col("text")).alias("terms"))
-    return terms.select("doc_id", F.size("terms").alias("n_terms"), F.size(F.array_distinct("terms")).alias("n_distinct"))
+    found = ingest.analyzed(_docs(spark, sf_dir), chunk_id="doc_id")
+    return found.select(F.col("chunk_id").alias("doc_id"), F.col("dl").cast("int").alias("n_terms"), F.size("terms").alias("n_distinct"))
 
 
 @query(_sql(_CORPUS, select="SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term"))
@@ -550,6 +564,15 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk(_docs(spark, sf_dir)).select("doc_id", "ordinal", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(
+    """WITH c AS (SELECT doc_id, text, unnest(range(greatest(0, ceil((length(coalesce(text, '')) - 512) / 448.0))::BIGINT + 1)) AS ordinal FROM documents WHERE length(coalesce(text, '')) > 0),
+b AS (SELECT doc_id, ordinal::INTEGER AS ordinal, octet_length(encode(substring(text, 1, 448 * ordinal)))::BIGINT AS byte_start, octet_length(encode(substring(text, 448 * ordinal + 1, 512))) AS n FROM c)
+SELECT doc_id, ordinal, byte_start, byte_start + n AS byte_end FROM b"""
+)
+def chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.byte_offsets(ingest.chunk(_docs(spark, sf_dir))).select("doc_id", "ordinal", "byte_start", "byte_end")
+
+
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.upsert(ingest.content_hash(_docs(spark, sf_dir))).select("doc_id")
@@ -600,28 +623,46 @@ def tombstone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(ingest.tombstone_stats(i.docs, i.chunks, _dead(spark, sf_dir)), "ratio")
 
 
-@query()
+def _counted(kept: str) -> str:
+    """Counters of an index with chunks of 512 characters, 64 of them shared, over the texts of a query."""
+    return f"""k AS ({kept}),
+c AS (SELECT substring(text, 448 * ordinal + 1, 512) AS chunk FROM (SELECT text, unnest(range(greatest(0, ceil((length(text) - 512) / 448.0))::BIGINT + 1)) AS ordinal FROM k WHERE length(text) > 0)),
+l AS (SELECT len({_terms("chunk")}) AS dl FROM c)
+SELECT (SELECT count(*) FROM k) AS num_docs, count(*) AS num_chunks, sum(dl)::BIGINT AS total_len, round(avg(dl), 6) AS avgdl FROM l"""
+
+
+@query(
+    """WITH u AS (SELECT text, coalesce(lang = 'en', false) AS en, doc_id FROM documents),
+a AS (SELECT text, min(doc_id) AS first FROM u WHERE en GROUP BY text),
+b AS (SELECT u.text, min(doc_id) AS first FROM u WHERE NOT en AND NOT EXISTS (SELECT 1 FROM a WHERE a.text IS NOT DISTINCT FROM u.text) GROUP BY u.text),
+n AS (SELECT text, row_number() OVER (ORDER BY first) - 1 AS id FROM a UNION ALL SELECT text, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY first) - 1 FROM b),
+"""
+    + _counted("SELECT coalesce(text, '') AS text FROM n WHERE id % 10 <> 0")
+)
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in two commits, some removed, merged, compacted and searched."""
-    store = Store(spark, f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='heronry-')}/store-{uuid.uuid4().hex}")
+    """Documents in two commits, some removed, merged, compacted and counted."""
+    store = Store(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
     docs = _docs(spark, sf_dir).withColumnRenamed("doc_id", "doc_order")
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     for part in (english, ~english):
         store.writer().add(docs.filter(part).select("doc_order", "source", "text")).commit()
     store.writer().remove(store.view().docs.select("doc_id").filter("doc_id % 10 = 0")).commit()
     store.compact()
-    return store.view().counters()
+    store.verify()
+    return _six(store.view().counters(), "avgdl")
 
 
-@query()
+@query("WITH " + _counted("SELECT DISTINCT text FROM documents WHERE text IS NOT NULL"))
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that come in as files, each text once."""
+    """Documents that come in as files into a store, and the whole stream a second time, which adds nothing."""
     from .streaming import ingest as streaming
 
-    rows = spark.readStream.schema(_docs(spark, sf_dir).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*").withColumn("dedup_key", F.lit(None).cast("string"))
-    name = f"ingested_{uuid.uuid4().hex}"
-    streaming.first_of_each_hash(rows).groupBy("lang").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    at = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = Store(spark, f"{at}/store")
+    for turn in range(2):
+        rows = spark.readStream.schema(_docs(spark, sf_dir).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
+        streaming.ingest(rows.select("source", "text"), store, f"{at}/checkpoint{turn}").awaitTermination()
+    return _six(store.view().counters(), "avgdl")
 
 
 # evaluation
@@ -730,6 +771,37 @@ def theta_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(evaluate.theta_sweep(full, without, fusion.overlap_signal(both, 10), (0.0, 0.25, 0.5, 0.75, 1.0)), "delta")
 
 
+_KINDS = "CASE label % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'natural' WHEN 2 THEN 'mixed' ELSE 'paraphrase' END"
+
+
+@query(
+    _sql(
+        _HYBRID, _fuse("f1"), _fuse("f2", weight="CASE lane_idx WHEN 0 THEN 0.0 ELSE 1.5 END"), _JUDGED, _eval("a", "f1"), _eval("b", "f2"), _SIGNAL, _TWO,
+        "cov AS (SELECT q.qid, CASE WHEN count(qt.term) > 0 THEN count(df.term) / count(qt.term) ELSE 0.0 END::DOUBLE AS value FROM q LEFT JOIN qt USING (qid) LEFT JOIN df USING (term) GROUP BY q.qid)",
+        "s AS (SELECT 'overlap' AS signal, qid, signal AS value FROM sig JOIN two USING (qid) UNION ALL SELECT 'coverage', qid, value FROM cov UNION ALL SELECT 'shape', qid, regexp_matches(query, '[A-Za-z0-9]')::INTEGER::DOUBLE FROM q)",
+        f"p AS (SELECT qid, b.mrr - a.mrr AS d, {_KINDS} AS type FROM a JOIN b USING (qid) JOIN embeddings ON vec_id = qid)",
+        "g AS (SELECT v.signal, i / 20.0::DOUBLE AS theta, type, CASE WHEN value < i / 20.0::DOUBLE THEN d ELSE 0.0 END AS change FROM p, (SELECT DISTINCT signal FROM s) v, range(21) r(i) LEFT JOIN s ON s.qid = p.qid AND s.signal = v.signal)",
+        "m AS (SELECT signal, theta, type, avg(change) + 1e-12 AS low FROM g GROUP BY GROUPING SETS ((signal, theta, type), (signal, theta)))",
+        "o AS (SELECT signal, theta, coalesce(bool_and(low >= 0.01) FILTER (type = 'paraphrase'), false) AS gain_ok, coalesce(bool_and(low >= -0.0024) FILTER (type <> 'paraphrase'), false) AS others_ok, coalesce(bool_and(low >= 0) FILTER (type IS NULL), false) AS all_ok FROM m GROUP BY ALL)",
+        "w AS (SELECT *, gain_ok AND others_ok AND all_ok AS passed FROM o)",
+        "x AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY theta) - row_number() OVER (PARTITION BY signal, passed ORDER BY theta) AS island FROM w)",
+        "y AS (SELECT *, CASE WHEN passed THEN count(*) OVER (PARTITION BY signal, passed, island) ELSE 0 END AS run FROM x)",
+        select="SELECT signal, theta, gain_ok, others_ok, all_ok, passed, run, max(run) OVER (PARTITION BY signal) >= 3 AS adopt FROM y",
+    )
+)
+def theta_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three signals, 21 values each, and whether any is to be adopted."""
+    both, judged, index = kept(_both_lanes(spark, sf_dir), "lanes"), _judgments(spark, sf_dir), _index(spark, sf_dir)
+    asked = _queries(spark, sf_dir, False)
+    full = evaluate.metrics(_judged_hits(fusion.rrf(both)), judged)
+    without = evaluate.metrics(_judged_hits(fusion.rrf(both, weights=(0.0, 1.5))), judged)
+    found = {"overlap": fusion.overlap_signal(both, 10), "coverage": fusion.coverage_signal(lanes.term_hits(asked, index.postings)), "shape": fusion.shape_signal(asked)}
+    signals = reduce(DataFrame.union, (df.select(F.lit(name).alias("signal"), "qid", F.col("signal").alias("value")) for name, df in found.items()))
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "natural", "mixed", "paraphrase"))), F.col("label") % 4 + 1)
+    buckets = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), kind.alias("type"))
+    return evaluate.gates(evaluate.bucket_sweep(full, without, signals, buckets))
+
+
 # dataset tools
 
 
@@ -783,7 +855,18 @@ def short_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(lanes.bm25(asked, index.postings, index.lengths, 5))
 
 
+_EN = "WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
+
+
+@query(
+    _sql(
+        _CORPUS, _Q, _bm25(where=_EN), _UNIT, _vec(where=_EN), _LANES, _fuse(),
+        select=f"""SELECT f.qid, f.rank, f.chunk_id, f.chunk_id AS doc_id, d.source, round(f.score, 6) AS score, array_to_string({_MATCHED}, ' ') AS matched_terms, round(bm.score, 6) AS bm25_score, round(vec.score, 6) AS vector_score
+FROM fused f JOIN documents d ON d.doc_id = f.chunk_id JOIN q ON q.qid = f.qid LEFT JOIN bm ON bm.qid = f.qid AND bm.chunk_id = f.chunk_id LEFT JOIN vec ON vec.qid = f.qid AND vec.chunk_id = f.chunk_id""",
+    )
+)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all benchmark texts with their vectors, filtered, fused and explained."""
     found = Searcher(_index(spark, sf_dir)).search(_queries(spark, sf_dir)).filter("lang=en").top_n(10).exec()
-    return found.select("qid", "rank", "chunk_id", "doc_id", "source", "score", "matched_terms", "bm25_score", "vector_score")
+    out = found.select("qid", F.col("rank").cast("int").alias("rank"), "chunk_id", "doc_id", "source", "score", F.array_join("matched_terms", " ").alias("matched_terms"), "bm25_score", "vector_score")
+    return _six(out, "score", "bm25_score", "vector_score")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,21 +95,45 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Seconds after which the lock of a writer that has not finished counts as left behind.
+STALE_SECONDS = 600
+
+
+def _locked(fs, lock, now_ms: int) -> bool:
+    """Takes the lock; one that is older than STALE_SECONDS is taken over."""
+    if fs.createNewFile(lock):
+        return True
+    try:
+        old = now_ms - fs.getFileStatus(lock).getModificationTime() > 1000 * STALE_SECONDS
+    except Exception:  # released meanwhile
+        return fs.createNewFile(lock)
+    return bool(old and fs.delete(lock, False) and fs.createNewFile(lock))
+
+
 def write_new(spark: SparkSession, path: str, value: dict) -> None:
-    """Creates a JSON file; raises Busy if it is there already, which makes it a compare-and-swap."""
+    """Creates a JSON file; raises Busy if it is there already, which makes it a compare-and-swap.
+
+    The bytes are flushed to disk before the file gets its name. A lock lets one writer at a time through and goes with
+    it, whether it succeeds or fails; that of a writer that died is taken over after STALE_SECONDS.
+    """
     fs, at = _file_system(spark, path)
-    scratch = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{id(value)}.tmp")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    scratch, lock = hadoop(f"{path}.{uuid.uuid4().hex}.tmp"), hadoop(f"{path}.lock")
     out = fs.create(scratch, True)
     out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    out.hsync()
     out.close()
+    mine = False
     try:
-        mark = fs.createNewFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.lock"))
-        if not mark or fs.exists(at):
+        mine = not fs.exists(at) and _locked(fs, lock, int(time.time() * 1000))
+        if not mine or fs.exists(at):
             raise Busy(f"{path} has been written by another writer")
         if not fs.rename(scratch, at):
             raise StorageError(f"{path} could not be written")
     finally:
         fs.delete(scratch, False)
+        if mine:
+            fs.delete(lock, False)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -123,6 +149,12 @@ def read_json(spark: SparkSession, path: str) -> dict:
         stream.close()
 
 
+def stamps(spark: SparkSession, path: str) -> tuple:
+    """(name, bytes, time) of a file or of a folder's files: another tuple means other contents."""
+    fs, at = _file_system(spark, path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     fs, at = _file_system(spark, folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
@@ -139,8 +171,12 @@ def json_report(tables: dict[str, DataFrame], config: dict) -> str:
     return json.dumps({"config": config, **{name: [json.loads(r) for r in df.toJSON().collect()] for name, df in tables.items()}}, sort_keys=True, ensure_ascii=False)
 
 
+def markdown_rows(names: list[str], rows: list[list], digits: int = 4) -> str:
+    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    every = [names, ["---"] * len(names), *([show(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(r) + " |" for r in every)
+
+
 def markdown_table(df: DataFrame, digits: int = 4) -> str:
     """A small result table as Markdown, rows in its own order."""
-    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = [df.columns, ["---"] * len(df.columns), *([show(v) for v in r] for r in df.collect())]
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+    return markdown_rows(df.columns, [list(r) for r in df.collect()], digits)

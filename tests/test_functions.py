@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -38,6 +40,16 @@ def test_second_analyzer(spark):
     assert text.LemmaAnalyzer().id != text.StandardAnalyzer().id
 
 
+def test_batches_give_the_terms_of_columns(spark):
+    """What an index is built with, and what queries are analyzed with."""
+    texts = ["The Engine, v2.0!", "云计算 and 数据", "日", "ｆｕｌｌ ﬁne", "", None, "a" * 40, "É l'été _x_ 1½ ²", "カタカナ한국어abc数", "\u0130stanbul ΟΔΟΣ", "x\ny\tz", "🙂 ok", "\U00020000\U00020001"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    for normalize in (True, False):
+        a = text.StandardAnalyzer(normalize=normalize)
+        expected = {r.chunk_id: sorted(Counter(r.terms).items()) for r in rows.select("chunk_id", a.document(F.col("text")).alias("terms")).collect()}
+        assert {r.chunk_id: sorted((t.term, t.tf) for t in r.terms) for r in ingest.analyzed(rows, a).collect()} == expected
+
+
 def test_positions_count_kept_terms(spark):
     rows = ingest.terms(spark.createDataFrame([(1, "the cat and the dog")], "chunk_id long, text string")).collect()
     assert sorted((r.position, r.term) for r in rows) == [(0, "cat"), (1, "dog")]

@@ -87,6 +87,52 @@ def test_approximate_vectors_recall(spark, sf_dir):
     assert recall >= 0.9
 
 
+def test_approximate_vectors_read_few_lists_of_clusters(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 16)) * 3
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.4
+    x[:2000] = centres[0] + rng.normal(size=(2000, 16)) * 0.4  # a third in one place
+    rows = table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    asked = table(spark, [(i, x[i].tolist()) for i in range(0, 6000, 100)], "qid long, qvec array<double>")
+    made = lanes.IvfIndex(rows, lists=80)
+    assert made.probes <= 8  # a tenth of the lists
+    exact = lanes.exact_vectors(asked, rows, 10)
+    assert lanes.overlap_at_k(made.search(asked, 10), exact, 10).agg(F.avg("overlap")).first()[0] >= 0.9
+    every = made.search(asked, 10, probes=80)
+    assert sorted((r.qid, r.chunk_id) for r in every.collect()) == sorted((r.qid, r.chunk_id) for r in exact.collect())
+    some = table(spark, [(i,) for i in range(0, 6000, 2)], "chunk_id long")
+    assert all(r.chunk_id % 2 == 0 for r in made.search(asked, 10, candidates=some).collect())
+
+
+def test_gates(spark):
+    deltas = {"paraphrase": 0.02, "exact": 0.0, "natural": -0.002, "mixed": 0.0}
+    rows = []
+    for signal, good in (("a", {0.1, 0.15, 0.2}), ("b", {0.1, 0.2, 0.3}), ("c", set())):
+        for i in range(9):
+            theta = round(0.05 * i, 2)
+            for kind, d in deltas.items():
+                rows.append((signal, theta, kind, 10, d if theta in good else 0.0))
+            rows.append((signal, theta, None, 40, 0.0045 if theta in good else 0.0))
+    swept = table(spark, rows, "signal string, theta double, type string, n long, delta double")
+    found = {(r.signal, r.theta): r for r in evaluate.gates(swept).collect()}
+    assert [s for s in "abc" if found[s, 0.0].adopt] == ["a"]
+    assert found["a", 0.15].run == 3 and found["b", 0.1].run == 1 and not found["c", 0.1].passed
+    evaluate.check_sweep(swept)
+    with pytest.raises(ValueError, match="not 4"):
+        evaluate.check_sweep(swept.filter("type is null or type <> 'mixed'"))
+    with pytest.raises(ValueError, match="without a switched"):
+        evaluate.check_sweep(swept.withColumn("delta", F.lit(0.1)))
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    rows = table(spark, [(1, "b a b c"), (2, ""), (3, None), (4, "a a"), (5, "of the")], "chunk_id long, text string")
+    posted = ingest.postings(rows.coalesce(1), positions=True)
+    found = {(r.chunk_id, r.term): (r.tf, r.positions) for r in posted.collect()}
+    assert found == {(1, "b"): (2, [0, 1]), (1, "c"): (1, [2])}  # a is a stop word
+    assert {r.chunk_id: r.dl for r in ingest.lengths(rows).collect()} == {1: 3, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_routes():
     assert lanes.route(True, 8192) == "exact" and lanes.route(True, 8193) == "ann" == lanes.route(False, 1)
     assert [lanes.overall_route(r) for r in ([], ["ann"], ["exact", "exact"], ["ann", "exact"])] == ["none", "ann", "exact", "mixed"]

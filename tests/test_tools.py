@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from heronry.__main__ import main
-from heronry.errors import EmbeddingError, GraphStale, InvalidInput, NoEmbedder
+from heronry.errors import Busy, EmbeddingError, GraphStale, InvalidInput, NoEmbedder, SnapshotCorrupted
 from heronry.operators import evaluate, lanes
 from heronry.plans.embed import CachedEmbedder, HashEmbedder, RemoteEmbedder, embed_chunks, embed_queries
-from heronry.sources import benchmark
+from heronry.sources import benchmark, files, report
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -61,6 +61,39 @@ def test_saved_approximate_index(spark, tmp_path):
     assert sorted(again.search(asked, 3).collect()) == sorted(made.search(asked, 3).collect())
     with pytest.raises(GraphStale):
         lanes.IvfIndex.load(spark, str(tmp_path / "ivf"), 4)
+    with pytest.raises(GraphStale):
+        lanes.IvfIndex.load(spark, str(tmp_path / "ivf"), 3, dim=5)
+    made.rows.limit(3).write.mode("append").parquet(str(tmp_path / "ivf" / "rows"))
+    with pytest.raises(SnapshotCorrupted):
+        lanes.IvfIndex.load(spark, str(tmp_path / "ivf"), 3)
+
+
+def test_locks(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/m/1.json"
+    files.write_new(spark, path, {"a": 1})
+    with pytest.raises(Busy):
+        files.write_new(spark, path, {"a": 2})
+    assert files.names(spark, f"{tmp_path}/m") == ["1.json"] and files.read_json(spark, path) == {"a": 1}
+    held = tmp_path / "m" / "2.json.lock"
+    held.touch()
+    with pytest.raises(Busy):
+        files.write_new(spark, f"{tmp_path}/m/2.json", {})
+    monkeypatch.setattr(files, "STALE_SECONDS", -1)  # its writer has died
+    files.write_new(spark, f"{tmp_path}/m/2.json", {})
+    assert files.names(spark, f"{tmp_path}/m") == ["1.json", "2.json"]
+
+
+def test_report(spark):
+    rows = [(m, str(q), ("exact", "mixed")[q % 2], 0.5, 0.5, (0.9 if m == "hybrid" and q < 9 else 0.5)) for m in ("hybrid", "bm25") for q in range(12)]
+    found = report.cells(spark.createDataFrame(rows, "mode string, qid string, type string, recall double, mrr double, ndcg double"))
+    assert found["signs", "hybrid over bm25 all", "better"] == 9 and found["signs", "hybrid over bm25 all", "p"] == pytest.approx(2**-9)
+    assert found["means", "hybrid exact", "ndcg"] == pytest.approx((5 * 0.9 + 0.5) / 6) and found["means", "bm25 all", "n"] == 12
+    assert report.markdown(found).startswith("| means | n | recall | mrr | ndcg |")
+    written = dict(found)
+    assert report.differences(found, written) == []
+    written["signs", "hybrid over bm25 all", "p"] = 0.004
+    del written["means", "bm25 all", "n"]
+    assert len(report.differences(found, written)) == 2
 
 
 def test_filter_costs(spark):
