@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -213,9 +214,29 @@ def test_warc_reader_is_strict():
             list(warc.read([bad]))
 
 
-def test_archives_are_cut(spark):
+def test_archives_are_cut(spark, tmp_path):
     made = warc.write_archives(pages(spark, [(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 4) for i in range(60)]).coalesce(1), 2000)
-    assert made.count() > 5 and warc.read_archives(made).count() == 60
+    found = sorted(Path(made.removeprefix("file:")).glob("*.warc.gz"))
+    assert len(found) > 5 and warc.read_archives(spark, made).count() == 60
+    whole = gzip.decompress(found[0].read_bytes())  # what any other tool sees
+    assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and f"WARC-Filename: {found[0].name}".encode() in whole
+    assert len([*warc.read([found[0].read_bytes()])]) == whole.count(b"WARC/1.1\r\n")
+
+
+@pytest.mark.parametrize("harm", ["cut", "byte", "response"])
+def test_harm_is_noticed(spark, tmp_path, harm):
+    text = "<p>same</p>" * 20
+    made = Path(warc.write_archives(pages(spark, [(1, "u", text), (2, "u", text), (3, "u", "other")]).coalesce(1)).removeprefix("file:"))
+    (file,) = made.glob("*.warc.gz")
+    data = file.read_bytes()
+    kept = [warc.encode(r) if i else data[: data.index(b"\x1f\x8b\x08", 3)] for i, r in enumerate(warc.read([data])) if not (harm == "response" and r.headers.get("X-Page-Id") == "1")]
+    if harm == "response":
+        kept[-1] = warc.encode(warc.Record("metadata", {}, b"pages: 2\r\n"))
+    data = b"".join(kept) if harm == "response" else data[: len(data) * 2 // 3] if harm == "cut" else data[:-9] + bytes([data[-9] ^ 1]) + data[-8:]
+    file.write_bytes(data)
+    (made / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="WarcError|without its response"):
+        warc.read_archives(spark, str(made)).collect()
 
 
 # 4
