@@ -2,8 +2,8 @@
 
 A worklist holds the layers of a text: the text itself, and what its URL escapes, Unicode escapes, base64 runs and
 compressed runs unwrap to. Each layer is scanned and may unwrap to further ones, until nothing new comes; a layer that
-was seen before with the same places in the original is not entered again. Every code point of a layer knows the span
-of the original text that it comes from.
+was seen before with the same places in the original is not entered again. Every layer knows, by runs of code points, which
+span of the original text each comes from.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,23 +44,86 @@ _SAFE = str.maketrans("-_", "+/")
 
 @dataclass(slots=True)
 class Layer:
-    """A text whose code point i comes from starts[i]:ends[i] of the original; whole: all from that one span."""
+    """A text and where it comes from: all of it from one span of the original (whole), or by runs of code points.
+
+    A run has the place where it begins in the layer, that in the original, how far its code points are apart there and
+    how wide they are; without runs the layer is the original. A stretch of plain text is one run, however long.
+    """
 
     text: str
-    starts: list[int] | range | None = None
-    ends: list[int] | range | None = None
+    runs: np.ndarray | None = None
     whole: tuple[int, int] | None = None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return self.whole or (self.starts[start], self.ends[end - 1])
+        if self.whole:
+            return self.whole
+        return (start, end) if self.runs is None else (self._place(start)[0], self._place(end - 1)[1])
+
+    def _place(self, i: int) -> tuple[int, int]:
+        at, start, step, width = self.runs[np.searchsorted(self.runs[:, 0], i, side="right") - 1].tolist()
+        return start + (i - at) * step, start + (i - at) * step + width
 
     def key(self) -> bytes:
         """Tells layers apart by their text and where it comes from."""
         seen = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
-        seen.update(repr(self.whole).encode() if self.whole else array("q", [*self.starts, *self.ends]).tobytes())
+        seen.update(repr(self.whole).encode() if self.whole else b"" if self.runs is None else self.runs.tobytes())
         return seen.digest()
 
 
+class _Line:
+    """A line of a layer being rewritten: text that stays, and text put in place of escapes."""
+
+    def __init__(self, layer: Layer, start: int) -> None:
+        self.layer, self.at, self.length = layer, start, 0
+        self.pieces: list[str] = []
+        self.joined: list[str] = []
+        self.runs = array("i")  # four numbers a run; no text has 2**31 code points
+
+    def _add(self, text: str) -> None:
+        self.pieces.append(text)
+        self.length += len(text)
+        if len(self.pieces) > 1 << 14:  # many small strings take far more room than one
+            self.joined.append("".join(self.pieces))
+            self.pieces.clear()
+
+    def keep(self, end: int) -> None:
+        """The layer's text up to `end` stays."""
+        a, layer = self.at, self.layer
+        if a < end:
+            if layer.whole:
+                self.runs.extend((self.length, layer.whole[0], 0, layer.whole[1] - layer.whole[0]))
+            elif layer.runs is None:
+                self.runs.extend((self.length, a, 1, 1))
+            else:
+                places = layer.runs[:, 0]
+                own = layer.runs[np.searchsorted(places, a, side="right") - 1 : np.searchsorted(places, end, side="left")].copy()
+                over = np.maximum(a - own[:, 0], 0)
+                own[:, 1] += over * own[:, 2]
+                own[:, 0] += over + self.length - a
+                self.runs.frombytes(own.astype(np.int32).tobytes())
+            self._add(layer.text[a:end])
+        self.at = end
+
+    def put(self, a: int, b: int, new: str, per_byte: int) -> None:
+        """`new` stands for a:b; per_byte: old code points for each byte of UTF-8, 0: all of new for all of a:b."""
+        self.keep(a)
+        if per_byte and self.layer.runs is None and not self.layer.whole and new.isascii():
+            self.runs.extend((self.length, a, per_byte, per_byte))
+        else:
+            here = a
+            for i, c in enumerate(new) if per_byte else ((0, ""),):
+                after = here + per_byte * len(c.encode()) if per_byte else b
+                s, e = self.layer.span(here, after)
+                self.runs.extend((self.length + i, s, 0, e - s))
+                here = after
+        self._add(new)
+        self.at = b
+
+    def done(self, end: int) -> Layer:
+        self.keep(end)
+        return Layer("".join([*self.joined, *self.pieces]), np.frombuffer(self.runs, np.int32).reshape(-1, 4).astype(np.int64))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets in plain sight."""
     found = []
@@ -90,14 +154,12 @@ def _inflated(data: bytes, most: int) -> Iterator[bytes]:
 
 
 def _unpacked(data: bytes) -> Iterator[str]:
-    """The text of gzip or zlib data, in pieces of MAX_UNPACKED bytes that overlap by half; nothing if it is not UTF-8."""
+    """The text of gzip or zlib data, in pieces of MAX_UNPACKED bytes that overlap by half; bytes that are not UTF-8 count
+    as Latin-1."""
     half = max(1, MAX_UNPACKED // 2)
-    decoder, before, held, size = codecs.getincrementaldecoder("utf-8")(), "", [], 0
+    decoder, before, held, size = codecs.getincrementaldecoder("utf-8")("heronry-latin"), "", [], 0
     for out in _inflated(data, half):
-        try:
-            held.append(decoder.decode(out))
-        except UnicodeDecodeError:
-            break
+        held.append(decoder.decode(out))
         size += len(out)
         if size >= half:
             piece = "".join(held)
@@ -107,11 +169,28 @@ def _unpacked(data: bytes) -> Iterator[str]:
         yield before + "".join(held)
 
 
+#: Bytes of ASCII text.
+_ASCII = bytes([9, 10, 12, 13, *range(32, 127)])
+
+
+def _latin(error: UnicodeError) -> tuple[str, int]:
+    return error.object[error.start : error.end].decode("latin-1"), error.end
+
+
+codecs.register_error("heronry-latin", _latin)
+
+
 def _text(data: bytes) -> str | None:
+    """Bytes as text: UTF-16 where every second byte is zero nearly throughout, else UTF-8; what is neither counts as
+    Latin-1 if three quarters of it are ASCII text, and else as no text."""
+    if b"\0" in data and len(data) % 2 == 0:
+        for first, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+            if 20 * data[first::2].count(0) >= 9 * len(data):
+                return data.decode(name, "replace")
     try:
         return data.decode()
     except UnicodeDecodeError:
-        return None
+        return data.decode(errors="heronry-latin") if 4 * len(data.translate(None, _ASCII)) <= len(data) else None
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -143,75 +222,49 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
             yield lines[a][0], lines[b - 1][1], "".join(parts[a:b])
 
 
-def _lines(text: str, matches: Iterator[re.Match]) -> Iterator[tuple[int, int, list[re.Match]]]:
-    """The lines that hold matches, each with its own."""
-    start = end = -1
-    own: list[re.Match] = []
-    for m in matches:
-        if m.start() >= end:
-            if own:
-                yield start, end, own
-            start = text.rfind("\n", 0, m.start()) + 1
-            end, own = text.find("\n", m.end()), []
-            end = len(text) if end < 0 else end
-        own.append(m)
-    if own:
-        yield start, end, own
-
-
-def _replaced(layer: Layer, start: int, end: int, parts: list[tuple[int, int, str, int]]) -> Layer:
-    """The line start:end with parts (start, end, new text, old code points for each UTF-8 byte or 0) put in."""
-    pieces, starts, ends, at = [], [], [], start
-
-    def keep(a: int, b: int) -> None:
-        pieces.append(layer.text[a:b])
-        for i in range(a, b):
-            s, e = layer.span(i, i + 1)
-            starts.append(s)
-            ends.append(e)
-
+def _rewritten(layer: Layer, parts: Iterator[tuple[int, int, str, int]]) -> Iterator[Layer]:
+    """The lines that hold parts (start, end, new text, per_byte as in `_Line.put`), each with its own put in."""
+    line, end = None, -1
     for a, b, new, per_byte in parts:
-        keep(at, a)
-        pieces.append(new)
-        here = a
-        for c in new:
-            after = here + per_byte * len(c.encode()) if per_byte else b
-            s, e = layer.span(here, after)
-            starts.append(s)
-            ends.append(e)
-            here = after if per_byte else a
-        at = b
-    keep(at, end)
-    return Layer("".join(pieces), starts, ends)
+        if a >= end:
+            if line:
+                yield line.done(end)
+            line, end = _Line(layer, layer.text.rfind("\n", 0, a) + 1), layer.text.find("\n", b)
+            end = len(layer.text) if end < 0 else end
+        line.put(a, b, new, per_byte)
+    if line:
+        yield line.done(end)
+
+
+def _url_parts(text: str) -> Iterator[tuple[int, int, str, int]]:
+    for m in _URL.finditer(text):
+        if (new := _text(bytes.fromhex(m[0].replace("%", "")))) is not None:
+            yield *m.span(), new, 3
+
+
+def _unicode_parts(text: str) -> Iterator[tuple[int, int, str, int]]:
+    high = None
+    for m in _UNICODE.finditer(text):
+        code = int(m[m.lastindex], 10 if m.lastindex == 6 else 16)
+        if high and m.lastindex == 2 and 0xDC00 <= code < 0xE000 and high.end() == m.start():
+            yield high.start(), m.end(), chr(0x10000 + (int(high[2], 16) - 0xD800 << 10) + code - 0xDC00), 0
+            high = None
+            continue
+        high = m if m.lastindex == 2 and 0xD800 <= code < 0xDC00 else None
+        if code < 0x110000 and not 0xD800 <= code < 0xE000:
+            yield *m.span(), chr(code), 0
 
 
 def _unwrap(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text:
-        for start, end, own in _lines(text, _URL.finditer(text)):
-            parts = []
-            for m in own:
-                data = bytes.fromhex(m[0].replace("%", ""))
-                if (new := _text(data)) is not None:
-                    parts.append((*m.span(), new, 3))
-                for new in _unpacked(data):
+        yield from _rewritten(layer, _url_parts(text))
+        for m in _URL.finditer(text):
+            if m[0][1:3] in ("1f", "1F", "78"):  # as compressed data begin
+                for new in _unpacked(bytes.fromhex(m[0].replace("%", ""))):
                     yield Layer(new, whole=layer.span(*m.span()))
-            if parts:
-                yield _replaced(layer, start, end, parts)
     if "\\" in text or "&#" in text:
-        for start, end, own in _lines(text, _UNICODE.finditer(text)):
-            parts, high = [], None
-            for m in own:
-                code = int(m[m.lastindex], 10 if m.lastindex == 6 else 16)
-                if high and m.lastindex == 2 and 0xDC00 <= code < 0xE000 and high.end() == m.start():
-                    parts.append((high.start(), m.end(), chr(0x10000 + (int(high[2], 16) - 0xD800 << 10) + code - 0xDC00), 0))
-                    high = None
-                    continue
-                high = m if m.lastindex == 2 and 0xD800 <= code < 0xDC00 else None
-                if code < 0x110000 and not 0xD800 <= code < 0xE000:
-                    parts.append((*m.span(), chr(code), 0))
-            if parts:
-                yield _replaced(layer, start, end, parts)
+        yield from _rewritten(layer, _unicode_parts(text))
     for start, end, run in _runs(text):
         if len(run) % 4 == 1:
             continue
@@ -226,12 +279,13 @@ def _unwrap(layer: Layer) -> Iterator[Layer]:
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans) by start, then kind as listed, then end."""
+    """(base spans, all spans) of a text of any length, by start, then kind as listed, then end; an empty text has none.
+    Equal secrets at different places are spans of their own."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
     found = set(base)
     seen = set()
-    todo = [_unwrap(Layer(text, range(len(text)), range(1, len(text) + 1)))]
+    todo = [_unwrap(Layer(text))]
     while todo:  # the layers that lead to one at a time, so that not all pieces of a large one are held
         if (child := next(todo[-1], None)) is None:
             todo.pop()
@@ -250,8 +304,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row; spans in code points, end exclusive.
 
     The counts and the digest are those of the base spans; spans also holds what was found in unwrapped layers, as the
-    span of the original that encodes it. Null and empty texts have no spans. Rows are independent; an empty table
-    gives no rows.
+    span of the original that encodes it. Null and empty texts have no spans; texts of any length are scanned whole.
+    Rows are independent, repeated ones too; further columns are not looked at, and an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -50,3 +50,31 @@ def test_oversized_layers(monkeypatch):
         assert found(base64.b64encode(gzip.compress(body.encode())).decode(), "access")
     twice = gzip.compress(b"first") + gzip.compress(KEY.encode())
     assert found(base64.b64encode(twice).decode(), "access")
+
+
+@pytest.mark.parametrize("name", ["latin-1", "utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("pack", [gzip.compress, bytes])
+def test_other_encodings(name, pack):
+    if pack is gzip.compress and name != "latin-1":
+        pytest.skip("compressed text is UTF-8 or Latin-1")
+    run = base64.b64encode(pack(f"le café, l'été: {KEY} voilà".encode(name))).decode()
+    assert found(f"x {run} y", "access") == [(2, 2 + len(run))]
+
+
+def test_binary_is_no_text():
+    assert secrets._text(bytes(range(128, 256)) * 4) is None
+
+
+def test_long_lines():
+    plain, secret = "minified();" * 300_000, "token%3Dabcdefghijklmn"
+    text = f"{plain}{secret};{plain}%41"
+    assert found(text, "assign") == [(len(plain), len(plain) + len(secret))]
+    dense = "%61%62" * 200_000
+    assert found(f"{dense} {secret}", "assign") == [(len(dense) + 1, len(dense) + 1 + len(secret))]
+
+
+def test_places_through_two_layers():
+    """A URL layer within a Unicode one: each code point still comes from its own escape."""
+    inner = "é token%3Dabcdefghijklmn é"
+    text = "a " + "".join(f"\\u{ord(c):04x}" for c in inner) + " b"
+    assert found(text, "assign") == [(2 + 6 * 2, 2 + 6 * (len(inner) - 2))]
