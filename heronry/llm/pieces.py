@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Segments of a generation, of which a worker remembers two, piece pairs that it remembers, and the longest segment
 #: among them.
-REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_CHARS = 150_000, 300_000, 48
+REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_CHARS = 200_000, 300_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -210,9 +211,10 @@ class Transducer:
     def path(self, segment: str) -> list[int]:
         """The pieces of the shortest path through the composition with one segment. A segment of a merge model without
         a path of finite weight (the neighbours of its pieces would not determine the merges) is merged outright."""
-        parts = (self._first_path(segment) or self._merged(segment)[0]) if self.bpe else self._least_path(segment)
+        if self.bpe and (found := self._first_path(segment)):
+            return found
         out = []
-        for part in parts:
+        for part in self._merged(segment)[0] if self.bpe else self._least_path(segment):
             piece = self.ids.get(part)
             if piece is None:
                 out += self.fallback(part)
@@ -220,7 +222,7 @@ class Transducer:
                 out.append(piece)
         return out
 
-    def _first_path(self, segment: str) -> list[str]:
+    def _first_path(self, segment: str) -> list[int]:
         """Of a merge model, best first: all finite weights are 0, so the first path that comes to the end is a shortest
         one, and arcs that reach farthest are tried first. A position has one state at most, since what merging makes of
         the text before it is one sequence; so none is entered twice."""
@@ -233,8 +235,8 @@ class Transducer:
                 if node is None:
                     break
                 reach += 1
-                if "" in node and reach not in last:
-                    todo.append((start, reach, node[""]))
+                if (piece := node.get("")) is not None and reach not in last:
+                    todo.append((start, reach, piece))
             if reach == start and start + 1 not in last:  # no piece has this character
                 last[start + 1], came[start + 1] = -1, start
                 start = end = start + 1
@@ -256,7 +258,10 @@ class Transducer:
                 return []
         out = []
         while n > 0:
-            out.append(segment[came[n] : n])
+            if (piece := last[n]) < 0:
+                out += self.fallback(segment[came[n] : n])[::-1]
+            else:
+                out.append(piece)
             n = came[n]
         return out[::-1]
 
@@ -281,7 +286,7 @@ class Transducer:
     def _remember(self, segment: str) -> bytes:
         """The path of a segment that is not among the latest; what was used since the last turn stays for the next."""
         if (ids := self.older.get(segment)) is None:
-            ids = np.array(self.path(segment), np.int32).tobytes()
+            ids = array("i", self.path(segment)).tobytes()
         if len(segment) <= REMEMBERED_CHARS:
             if len(self.seen) >= REMEMBERED:
                 self.older, self.seen = self.seen, {}

@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """doc_id, fp (signed long) and component_id: the smallest doc_id among documents that links can reach.
 
     Texts that are null, empty or white space have fingerprint 0 and are linked like any other. Repeated rows stay and
-    share a component; a null doc_id is kept, and is a component's id only where no other exists. An empty table
-    gives no rows.
+    share a component; a null doc_id is kept, and is a component's id only where no other exists. Texts of any length
+    are read whole; further columns are not looked at. An empty table gives no rows.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked = written(fingerprints(named, **options), "fingerprints")

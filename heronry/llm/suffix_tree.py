@@ -74,17 +74,17 @@ def _hash_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) >> _CUT
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+def _pack(a: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(a.tobytes())
 
 
 def _unpack(b: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
-def _pack_planes(a: np.ndarray) -> bytes:
+def _pack_planes(a: np.ndarray, level: int = 1) -> bytes:
     """Numbers byte by byte: all their first bytes, then all their second ones, of which many are alike."""
-    return _pack(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T))
+    return _pack(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T), level)
 
 
 def _unpack_planes(b: bytes, dtype: str) -> np.ndarray:
@@ -132,7 +132,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         hashes = np.array([_START, _END, *(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)) >> _CUT)], np.uint64)
         size, trained = np.array(lengths, np.int64), np.array(training, bool)
         row = {
-            "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack_planes(np.concatenate(tokens)), "vocabulary": hashes.tobytes(), "lengths": _pack(size), "training": _pack(trained),
+            "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack_planes(np.concatenate(tokens), 3), "vocabulary": _pack_planes(hashes), "lengths": _pack(size), "training": _pack(trained),
             "doc_ids": _pack(np.array([(i or 0, i is None) for i in ids], np.int64)), "n_tokens": int(size.sum()), "n_training": int(size[trained].sum()),
         }
         return pa.RecordBatch.from_pylist([row], pa.schema([(n, pa.int64() if n in ("block", "n_tokens", "n_training") else pa.binary()) for n in names]))
@@ -187,7 +187,7 @@ class _State:
     @classmethod
     def root(cls, row: dict, counted: np.ndarray, numbers: dict) -> _State:
         """Depth 1: every word has its probability at the root, and the word before it as a context."""
-        tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), np.frombuffer(row["vocabulary"], np.uint64)
+        tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), _unpack_planes(row["vocabulary"], "<u8")
         lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
         first = np.cumsum(lengths) - lengths
         counts = np.empty(len(vocabulary))
@@ -319,7 +319,7 @@ def _asks_words(buckets: int):
     def run(blocks: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), np.frombuffer(row["vocabulary"], np.uint64)
+            tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), _unpack_planes(row["vocabulary"], "<u8")
             lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
             counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(vocabulary))
             counts[0] = training.sum()

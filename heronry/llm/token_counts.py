@@ -115,8 +115,8 @@ def merger(path: str) -> RankMerger:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than `limit` tokens) of every row.
 
-    Null and empty texts have 0 bytes and 0 tokens. Rows are independent: repeated ones and null identifiers are
-    returned as they are, and an empty table gives no rows. `vocabulary` is the path of the vocabulary file on the
+    Null and empty texts have 0 bytes and 0 tokens; texts of any length are counted whole. Rows are independent: repeated
+    ones and null identifiers are returned as they are, and an empty table gives no rows. Further columns are not looked at. `vocabulary` is the path of the vocabulary file on the
     executors.
     """
 
