@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -50,14 +50,28 @@ class Analyzer(Protocol):
     def query(self, text: Column) -> Column: ...
 
 
-def nfkc(column: Column) -> Column:
-    """Compatibility normalisation; Spark has no built-in for it. ASCII texts stay as they are, without Python."""
+def _rewritten(column: Column, rewrite: Callable[[str], str]) -> Column:
+    """Spark has no built-in for Unicode's normal forms. ASCII texts stay as they are, without Python."""
 
-    def normalized(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+            yield s.map(lambda t: None if t is None else rewrite(t))
+
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(column.rlike(r"[^\x00-\x7F]"), column)), column)
+
+
+def nfkc(column: Column) -> Column:
+    """Compatibility normalisation."""
+    return _rewritten(column, lambda t: unicodedata.normalize("NFKC", t))
+
+
+def unmarked(column: Column) -> Column:
+    """Compatibility forms taken apart and accents and other marks dropped; what then still composes (Hangul) does."""
+
+    def rewrite(t: str) -> str:
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
-    return F.coalesce(F.pandas_udf(normalized, "string")(F.when(column.rlike(r"[^\x00-\x7F]"), column)), column)
+    return _rewritten(column, rewrite)
 
 
 def latin_terms(text: Column) -> Column:
@@ -139,15 +153,15 @@ class StandardAnalyzer:
 
 @dataclass(frozen=True)
 class LemmaAnalyzer:
-    """A second analyzer: no stop words, single ideographs dropped, plural s of Latin terms cut."""
+    """A second analyzer, for comparison: normal forms without marks (é as e), lower case, no stop words, single
+    ideographs dropped."""
 
     max_term: int = MAX_TERM
-    id: str = "lemma/1"
+    id: str = "lemma/2"
 
     def document(self, text: Column) -> Column:
-        terms = mixed_terms(F.lower(F.coalesce(text, F.lit(""))))
-        kept = F.filter(terms, lambda t: (F.length(t) <= self.max_term) & ~t.rlike(f"^[{CJK}]$"))
-        return F.transform(kept, lambda t: F.when(F.length(t) > 3, F.regexp_replace(t, "(?<!s)s$", "")).otherwise(t))
+        terms = mixed_terms(F.lower(F.coalesce(unmarked(text), F.lit(""))))
+        return F.filter(terms, lambda t: (F.length(t) <= self.max_term) & ~t.rlike(f"^[{CJK}]$"))
 
     query = document
 

@@ -36,7 +36,7 @@ def test_compatibility_forms(spark):
 
 
 def test_second_analyzer(spark):
-    assert analyzed(spark, "The engines pass 云", text.LemmaAnalyzer()) == ["the", "engine", "pass"]
+    assert analyzed(spark, "The Éngines pass 云 ﬁnd Cafe\u0301 한국", text.LemmaAnalyzer()) == ["the", "engines", "pass", "find", "cafe", "한국"]
     assert text.LemmaAnalyzer().id != text.StandardAnalyzer().id
 
 
