@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed_after, written
 
 #: Edges that one file of a round is meant for.
 FILE_EDGES = 250_000
@@ -35,19 +35,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u, v: long); component is the smallest node that can be reached.
 
-    Each round is written to the shared folder, so the plan stays short and a lost executor costs one round. The
-    rounds grow with the logarithm of the longest chain. No edges: no rows.
+    Each round is written to the shared folder, so the plan stays short and a lost executor costs one round; all but
+    the result is removed in the end. The rounds grow with the logarithm of the longest chain. No edges: no rows.
     """
 
     def mark(df: DataFrame) -> tuple:
         h = F.xxhash64("u", "v").cast("decimal(20,0)")
         return tuple(df.agg(F.count("*"), F.sum(h)).first())
 
-    edges = written(_distinct(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))), "edges")
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
-        files = max(1, math.ceil(now[0] / FILE_EDGES))
-        edges = written(_small_star(_large_star(edges)).coalesce(files), "edges")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    with removed_after(edges.sparkSession) as keep:
+        edges = written(_distinct(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))), "edges")
+        before = None
+        while (now := mark(edges)) != before:
+            before = now
+            files = max(1, math.ceil(now[0] / FILE_EDGES))
+            edges = written(_small_star(_large_star(edges)).coalesce(files), "edges")
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return keep(written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components"))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, fresh, quoted, written
+from .common import WORD, columns, fresh, quoted, removed_after, written
 
 #: No source is taken more often than this.
 MAX_EPOCHS = 3
@@ -77,6 +77,11 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", seed: int = SEED, max_epochs:
     rows stand for one another. A null source is a source of its own. Empty documents take nothing; a table of empty
     texts has targets of 0; an empty table gives no rows.
     """
+    with removed_after(sized.sparkSession) as keep:
+        return keep(written(_mix(sized, doc_id, seed, max_epochs), "mix"))
+
+
+def _mix(sized: DataFrame, doc_id: str, seed: int, max_epochs: int) -> DataFrame:
     # 52 bits of a digest as a number in (0, 1)
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10)
     u = (digest.cast("double") + 0.5) / float(1 << 52)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import _LOWER, fresh, map_batches, quoted, texts_of, written
+from .common import _LOWER, fresh, map_batches, quoted, removed_after, texts_of, written
 from .graph import components
 from .resemblance import alike
 
@@ -210,9 +210,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are read whole; further columns are not looked at. An empty table gives no rows.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = written(fingerprints(named, **options), "fingerprints")
-    ids = _grouped(marked, F.col("doc_id")).withColumnRenamed("first", "component_id")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    with removed_after(docs.sparkSession) as keep:
+        marked = written(fingerprints(named, **options), "fingerprints")
+        ids = _grouped(marked, F.col("doc_id")).withColumnRenamed("first", "component_id")
+        return keep(written(marked.join(ids, "fp").select("doc_id", "fp", "component_id"), "near-duplicates"))
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -238,16 +239,17 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         found = np.array([(name(s), len(s), _majority(s)) for s in sets(batch)], np.uint64).reshape(-1, 3).view(np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["doc_id", "digest", "node", "n", "fp"])
 
-    marked = written(map_batches(named, run, "doc_id long, digest long, node long, n long, fp long"), "sets-named")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    groups = written(marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp")), "groups")
-    leads = written(groups.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
-    lead = lambda side: leads.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead"))
-    across = links(leads).distinct().join(lead("u"), "u").join(lead("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
-    within = groups.join(leads, "fp").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    found = alike(named.select("digest", "text"), marked.drop("fp"), sets, name, similarity, across.union(within))
-    placed = groups.join(components(found), "node", "left")
-    kept = placed.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
     mine, mark = fresh(docs, "ident", "mark")
-    kept = kept.select(F.col("first.doc_id").alias(mine), F.col("first.digest").alias(mark)).distinct()
-    return docs.join(kept, ident.eqNullSafe(F.col(mine)) & (digest == F.col(mark)), "left_semi")
+    with removed_after(docs.sparkSession) as keep:
+        marked = written(map_batches(named, run, "doc_id long, digest long, node long, n long, fp long"), "sets-named")
+        groups = written(marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp")), "groups")
+        leads = written(groups.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+        lead = lambda side: leads.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead"))
+        across = links(leads).distinct().join(lead("u"), "u").join(lead("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+        within = groups.join(leads, "fp").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+        found = alike(named.select("digest", "text"), marked.drop("fp"), sets, name, similarity, across.union(within))
+        placed = groups.join(components(found), "node", "left")
+        stays = placed.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
+        stays = keep(written(stays.select(F.col("first.doc_id").alias(mine), F.col("first.digest").alias(mark)).distinct(), "representatives"))
+    return docs.join(stays, ident.eqNullSafe(F.col(mine)) & (digest == F.col(mark)), "left_semi")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed_after, written
 
 K = 10
 SCALE = 1024
@@ -220,6 +220,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, vec_id: str = "vec_i
     once, and different vectors with one id are queries of their own. Fewer candidates than k: all of them; an empty
     table: no rows. Scores beyond the range of long raise an error. Further columns are not looked at.
     """
+    with removed_after(vectors.sparkSession) as keep:
+        return keep(written(_top_k(vectors, k, every, vec_id, embedding), "top-k"))
+
+
+def _top_k(vectors: DataFrame, k: int, every: int, vec_id: str, embedding: str) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     rows = written(rows.mapInArrow(_whole(every), "vec_id long, v binary, query long"), "vectors", "none")

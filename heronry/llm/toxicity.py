@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, texts_of, written
+from .common import fold, map_batches, removed_after, texts_of, written
 
 THRESHOLD = 0.7
 #: Distinct labelled texts that a model is fitted on at most: those of the smallest hashes.
@@ -348,7 +348,11 @@ def _lexicons(sample: DataFrame) -> list[Lexicon]:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_sample: int = MAX_SAMPLE) -> Model:
     """A model from the labelled rows whose crc32(doc_id) mod 3 is not 1, equal texts as one; see `_sample`."""
-    sample = _sample(docs, labels, text, doc_id, max_sample)
+    with removed_after(docs.sparkSession):
+        return _train(_sample(docs, labels, text, doc_id, max_sample))
+
+
+def _train(sample: DataFrame) -> Model:
     *others, whole = _lexicons(sample)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
