@@ -117,6 +117,25 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return back
 
 
+#: From so many rows on a key counts as hot.
+HOT_ROWS = 1 << 20
+
+
+def with_owners(rows: DataFrame, owners: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """`rows` inner-joined on `key` (a string) with `owners`, which have one row per key and in `size` how many rows do.
+
+    A key that a third of all rows have would be one task's work. Owners of HOT_ROWS and more are therefore broadcast (at
+    most one for each HOT_ROWS rows), and the rows of theirs go through the shuffle by `spread` instead.
+    """
+    names = [c for c in owners.columns if c != key]
+    hot = owners.filter(F.col(size) >= HOT_ROWS).select(F.col(key), *(F.col(c).alias(f"hot_{c}") for c in names), F.lit(True).alias("is_hot"))
+    cold = owners.filter(F.col(size) < HOT_ROWS).select(F.col(key).alias("cold_key"), *(F.col(c).alias(f"cold_{c}") for c in names), F.lit(True).alias("is_cold"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    place = F.when(F.col("is_hot"), F.concat(F.lit("hot "), F.xxhash64(spread).cast("string"))).otherwise(F.col(key))
+    found = marked.withColumn("place", place).join(cold, F.col("place") == F.col("cold_key"), "left").filter("is_hot or is_cold")
+    return found.select(*rows.columns, *(F.when(F.col("is_hot"), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in names))
+
+
 def map_streams(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow for columns of any names."""
     names = df.columns

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, columns, fresh, map_batches, quoted, texts_of, written
+from .common import WHITE, columns, fresh, map_batches, quoted, texts_of, with_owners, written
 
 #: Bytes of text that one trie may hold before its largest subtree goes to disk.
 TRIE_BYTES = 96 << 20
@@ -263,7 +263,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked = map_batches(rows, _digests, "doc_id long, text_sha256 string, mark long")
-    joined = marked.join(written(owners(docs, text, doc_id, **options), "owners"), "text_sha256")
+    joined = with_owners(marked, written(owners(docs, text, doc_id, **options), "owners"), "text_sha256", "group_size", "doc_id")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

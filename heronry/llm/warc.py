@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffles_removed, written
+from .common import shared_dir, shuffles_removed, with_owners, written
 
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 100
@@ -203,7 +203,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> str:
     digest = F.sha2(body, 256).alias("digest")
     digests = rows.filter(F.octet_length(body) >= MIN_REVISIT_BYTES).select("page_id", digest)
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    again = digests.join(first.drop("n"), "digest").filter("page_id <> refers_to").distinct()
+    again = with_owners(digests, written(first, "first"), "digest", "n", "page_id").drop("n").filter("page_id <> refers_to").distinct()
     marked = rows.select("*", digest).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     archives = marked.mapInArrow(lambda batches: _write(batches, archive_bytes), "data binary")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from heronry.llm import exact_dedup, mixing, pieces, secrets, simhash, suffix_tree, token_counts, topk, toxicity, warc
+from heronry.llm import common, exact_dedup, mixing, pieces, secrets, simhash, suffix_tree, token_counts, topk, toxicity, warc
 from heronry.llm import queries as llm_queries
 from heronry.llm.graph import components
 
@@ -223,6 +223,16 @@ def test_archives_are_cut(spark, tmp_path):
     assert len([*warc.read([found[0].read_bytes()])]) == whole.count(b"WARC/1.1\r\n")
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1 << 20])
+def test_hot_keys(spark, odd, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    docs = frame(spark, ["a b", "ab", None, "", "c", "a  b", "ab", "d", "D"])
+    assert by_text(map(tuple, exact_dedup.exact_groups(docs).collect())) == by_text(plain_groups(rows_of(docs)))
+    rows = [(i, "u", ("x" * 200, "y" * 200, "z" * 50)[i % 3]) for i in range(20)]
+    found = {r.page_id: r.refers_to for r in warc.round_trip(pages(spark, rows)).collect()}
+    assert found == {i: None if i < 2 or i % 3 == 2 else i % 3 for i in range(20)}
+
+
 @pytest.mark.parametrize("harm", ["cut", "byte", "response"])
 def test_harm_is_noticed(spark, tmp_path, harm):
     text = "<p>same</p>" * 20
