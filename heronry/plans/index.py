@@ -98,8 +98,12 @@ class Index:
         return cls.of_tables(rows, chunks, config, vectors)
 
     def saved(self) -> Index:
-        """The forward index written to the shared folder, so that texts are analyzed once for all queries."""
-        return self if self.forward is None else self._over(kept(self.forward, "forward"))
+        """The forward index and the postings written to the shared folder, so that texts are analyzed once for all
+        queries, and postings lie flat for each of them."""
+        if self.forward is None:
+            return self
+        over = self._over(kept(self.forward, "forward"))
+        return replace(over, postings=kept(over.postings, "postings"))
 
     def candidates(self, where: filters.Filter | None = None, columns: dict[str, Column] | None = None) -> DataFrame | None:
         """(chunk_id) of live chunks whose document passes, or None if all do."""
