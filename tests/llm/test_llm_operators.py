@@ -324,6 +324,31 @@ def test_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)], "u long, v long").repartition(8)
+    group = "components-jobs"
+    spark.sparkContext.setJobGroup(group, "")
+    found = components(edges)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() == 3001 and found.filter("component <> 0").count() == 0
+    assert len(jobs) <= 8
+
+
+@pytest.mark.parametrize("task_edges", [1, 40, 1 << 20])
+def test_components_by_rounds_and_at_once(spark, task_edges):
+    r = random.Random(task_edges)
+    edges = [(i, i + 1) for i in range(0, 150)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(180)] + [(-5, -(2**63)), (7000, 7000)]
+    r.shuffle(edges)
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    while any(label[u] != label[v] for u, v in edges if u != v):
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    rows = components(spark.createDataFrame(edges, "u long, v long").repartition(5), task_edges).collect()
+    assert {x.node: x.component for x in rows} == label and len(rows) == len(label)
+
+
 def test_representatives(spark):
     docs = frame(spark, [LONG, LONG.swapcase().replace("É", "é").replace("Ê", "ê"), prose(50), prose(50), None, ""], ids=[4, 2, 9, None, 8, 7])
     kept = simhash.representatives(docs)
