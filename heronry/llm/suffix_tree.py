@@ -82,6 +82,14 @@ def _unpack(b: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
+def _pack_bits(flags: np.ndarray) -> bytes:
+    return _pack(np.packbits(flags))
+
+
+def _unpack_bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(_unpack(b, np.uint8), count=n).astype(bool)
+
+
 def _pack_planes(a: np.ndarray, level: int = 1) -> bytes:
     """Numbers byte by byte: all their first bytes, then all their second ones, of which many are alike."""
     return _pack(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T), level)
@@ -109,7 +117,7 @@ def _unpack_gains(b: bytes) -> np.ndarray:
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Rising numbers as their differences, whose upper bytes are nearly all zero."""
+    """Numbers as their differences (modulo 2**64), whose upper bytes are nearly all zero where they rise."""
     return _pack_planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
@@ -130,9 +138,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
 
     def close() -> pa.RecordBatch:
         hashes = np.array([_START, _END, *(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)) >> _CUT)], np.uint64)
-        size, trained = np.array(lengths, np.int64), np.array(training, bool)
+        flat, size, trained = np.concatenate(tokens), np.array(lengths, np.int64), np.array(training, bool)
+        # by how often words occur, and by hash among equals: differences of these are small
+        order = np.append([0, 1], 2 + np.lexsort((hashes[2:], -np.bincount(flat, minlength=len(hashes))[2:])))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         row = {
-            "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack_planes(np.concatenate(tokens), 3), "vocabulary": _pack_planes(hashes), "lengths": _pack(size), "training": _pack(trained),
+            "block": xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()}/{next(serial)}") >> 1, "tokens": _pack_planes(rank[flat], 9), "vocabulary": _pack_sorted(hashes[order]), "lengths": _pack(size), "training": _pack(trained),
             "doc_ids": _pack(np.array([(i or 0, i is None) for i in ids], np.int64)), "n_tokens": int(size.sum()), "n_training": int(size[trained].sum()),
         }
         return pa.RecordBatch.from_pylist([row], pa.schema([(n, pa.int64() if n in ("block", "n_tokens", "n_training") else pa.binary()) for n in names]))
@@ -187,7 +199,7 @@ class _State:
     @classmethod
     def root(cls, row: dict, counted: np.ndarray, numbers: dict) -> _State:
         """Depth 1: every word has its probability at the root, and the word before it as a context."""
-        tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), _unpack_planes(row["vocabulary"], "<u8")
+        tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), _unpack_sorted(row["vocabulary"])
         lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
         first = np.cumsum(lengths) - lengths
         counts = np.empty(len(vocabulary))
@@ -224,15 +236,16 @@ class _State:
         )
 
     def packed(self) -> bytes:
-        """As bytes; log-probabilities to LOG_BITS bits behind the point."""
-        moved = self.__dict__ | {"position": np.diff(self.position, prepend=np.uint32(0)), "log": np.rint(self.log * -(2.0**LOG_BITS)).astype(np.int64)}
+        """As bytes; log-probabilities to LOG_BITS bits behind the point. Keys rise; n-grams are left out, since `grams`
+        numbers them alike again."""
+        moved = self.__dict__ | {"position": np.diff(self.position, prepend=np.uint32(0)), "keys": np.diff(self.keys, prepend=np.uint64(0)), "gram": np.zeros(0, np.int32), "log": np.rint(self.log * -(2.0**LOG_BITS)).astype(np.int64)}
         return pickle.dumps([(name, a.dtype.str, a.shape, _pack_planes(a.ravel()) if a.size else b"") for name, a in moved.items()])
 
     @classmethod
     def unpacked(cls, data: bytes) -> _State:
         """A state of `packed`; the bytes come from the tasks of the pass before."""
         found = {name: (_unpack_planes(b, dtype) if b else np.zeros(0, dtype)).reshape(shape) for name, dtype, shape, b in pickle.loads(data)}  # noqa: S301
-        found |= {"position": np.cumsum(found["position"], dtype=np.uint32), "log": found["log"] / -(2.0**LOG_BITS)}
+        found |= {"position": np.cumsum(found["position"], dtype=np.uint32), "keys": np.cumsum(found["keys"], dtype=np.uint64), "log": found["log"] / -(2.0**LOG_BITS)}
         return cls(**found)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +309,9 @@ def _answers(table: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
     """(totals, flags) of a block's questions of a step, in the order of the keys."""
     rows = sorted((r for r in table.select(["step", "bucket", "totals", "flags"]).to_pylist() if r["step"] == step), key=lambda r: r["bucket"])
     none = np.zeros(0)
-    return np.concatenate([none, *(_unpack_counts(r["totals"]) for r in rows)]), np.concatenate([none.astype(bool), *(_unpack(r["flags"], bool) for r in rows)])
+    totals = [_unpack_counts(r["totals"]) for r in rows]
+    flags = [_unpack_bits(r["flags"], len(t)) for r, t in zip(rows, totals, strict=True)]
+    return np.concatenate([none, *totals]), np.concatenate([none.astype(bool), *flags])
 
 
 def _questions(block: int, keys: np.ndarray, amounts: np.ndarray, buckets: int, pack) -> list[tuple]:
@@ -319,7 +334,7 @@ def _asks_words(buckets: int):
     def run(blocks: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), _unpack_planes(row["vocabulary"], "<u8")
+            tokens, vocabulary = _unpack_planes(row["tokens"], "<i4"), _unpack_sorted(row["vocabulary"])
             lengths, training = _unpack(row["lengths"], np.int64), _unpack(row["training"], bool)
             counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(vocabulary))
             counts[0] = training.sum()
@@ -335,7 +350,9 @@ def _opened(block: pa.Table, answers: pa.Table, depth: int, numbers: dict) -> _S
     by the answers so far."""
     row = block.to_pylist()[0]
     if "state" in row:
-        return _State.unpacked(row["state"])
+        state = _State.unpacked(row["state"])
+        state.grams()
+        return state
     state = _State.root(row, _answers(answers, 0)[0], numbers)
     for d in range(1, depth):
         state.grams()
@@ -408,7 +425,7 @@ def _totals(step: int, min_divergence: float):
         rows = []
         for i in range(len(parts)):
             own = slice(edges[i], edges[i + 1])
-            rows.append((blocks[i], step, buckets[i], _pack_counts(totals[own]), _pack(flags[own]), words if i == 0 else 0))
+            rows.append((blocks[i], step, buckets[i], _pack_counts(totals[own]), _pack_bits(flags[own]), words if i == 0 else 0))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "step", "bucket", "totals", "flags", "n_distinct"])
 

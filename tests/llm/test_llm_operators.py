@@ -135,6 +135,22 @@ def test_suffix_tree(spark, depth, min_count, min_divergence):
     assert by_text(rounded(found)) == by_text(plain_tree(rows_of(docs), depth, min_count, min_divergence, 5.0))
 
 
+def test_suffix_tree_states_keep_no_ngrams():
+    r = np.random.default_rng(3)
+    n, keys = 500, np.sort(r.integers(0, 1 << 56, 40, dtype=np.uint64))
+    state = suffix_tree._State(
+        np.zeros((1, 2), np.int64), np.ones(1, bool), np.array([n]), np.array([n]), np.zeros(1), np.zeros(1), np.arange(n, dtype=np.uint32), r.integers(-1, 20, n).astype(np.int32),
+        r.integers(0, 40, n).astype(np.int32), np.zeros(0, np.int32), np.full(n, -0.5), r.integers(0, 1 << 56, 20, dtype=np.uint64), keys, np.full(40, 9.0),
+    )
+    asked = state.grams()
+    again = suffix_tree._State.unpacked(state.packed())
+    assert again.gram.size == 0
+    assert all(np.array_equal(a, b) for a, b in zip(again.grams(), asked, strict=True))
+    assert all(np.array_equal(getattr(again, f), x) for f, x in state.__dict__.items())
+    flags = r.random(1001) < 0.2
+    assert np.array_equal(suffix_tree._unpack_bits(suffix_tree._pack_bits(flags), 1001), flags)
+
+
 def test_suffix_tree_odd(spark, odd):
     found = {r.doc_id: r for r in suffix_tree.scores(odd).collect()}
     assert len(found) == len(ODD) and found[0].n_tokens == found[1].n_tokens == found[2].n_tokens == 1
