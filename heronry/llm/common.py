@@ -117,6 +117,12 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return back
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that sorts and merges, whatever its size: a table that grows with the corpus is not
+    gathered by the driver, as a broadcast would."""
+    return df.hint("merge")
+
+
 #: From so many rows on a key counts as hot.
 HOT_ROWS = 1 << 20
 

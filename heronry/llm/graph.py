@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_streams, removed_after, written
+from .common import map_streams, merged, removed_after, written
 
 #: Edges that one file of a round is meant for; edges that a task contracts at once, and up to which one task does it all.
 FILE_EDGES, TASK_EDGES = 250_000, 1 << 20
@@ -74,14 +74,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _distinct(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _distinct(both.filter("v > u").join(merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(merged(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _distinct(moved.union(least.select("u", F.col("m").alias("v"))))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, merged, written
 from .graph import components
 
 #: Members that a bucket is meant for; sets and members of a block; members that a task verifies at once.
@@ -234,7 +234,7 @@ def alike(rows: DataFrame, marked: DataFrame, sets: Sets, name: Callable[[np.nda
     met = dealt.groupBy("bucket").applyInArrow(_met, "node long, met long").groupBy("node").agg(F.sum("met").alias("met"))
     least = F.greatest(F.ceil(F.col("n") * similarity - 1e-9), F.lit(1))
     enough = F.col("met") >= F.greatest(F.floor(least / 8), F.lit(1))  # _further of the smallest partner
-    left = marked.groupBy("node").agg(F.min("digest").alias("digest"), F.min("n").alias("n")).join(met, "node").filter(enough)
+    left = marked.groupBy("node").agg(F.min("digest").alias("digest"), F.min("n").alias("n")).join(merged(met), "node").filter(enough)
     left = written(left.select("digest", "n"), "left")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +243,9 @@ def alike(rows: DataFrame, marked: DataFrame, sets: Sets, name: Callable[[np.nda
                 node = pa.array([name(s)], pa.uint64()).view(pa.int64())
                 yield pa.RecordBatch.from_arrays([node, pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["node", "n", "members"])
 
-    taken = rows.join(left.select("digest"), "digest", "left_semi").select(*rows.columns)
+    taken = rows.join(merged(left.select("digest")), "digest", "left_semi").select(*rows.columns)
     kept = written(taken.mapInArrow(members, "node long, n long, members binary").dropDuplicates(["node"]), "sets")
-    with_members = lambda node, data: kept.select(F.col("node").alias(node), F.col("members").alias(data))
+    with_members = lambda node, data: merged(kept.select(F.col("node").alias(node), F.col("members").alias(data)))
     both = proposed.join(with_members("u", "a"), "u").join(with_members("v", "b"), "v").select("u", "v", "a", "b")
     sure = written(map_batches(both, _sure(similarity), "u long, v long"), "sure")
     known = components(sure).withColumnRenamed("component", "known")
@@ -258,11 +258,11 @@ def alike(rows: DataFrame, marked: DataFrame, sets: Sets, name: Callable[[np.nda
     shared = first.groupBy("member").agg(F.collect_list("node").alias("nodes")).filter("size(nodes) > 1")
     found = components(shared.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")))
 
-    placed = kept.select("node", "n").join(found, "node").join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    placed = kept.select("node", "n").join(merged(found), "node").join(merged(known), "node", "left").withColumn("known", F.coalesce("known", "node"))
     sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
-    dealt = written(placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n"), "blocks")
-    rows_out = dealt.join(kept, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = written(placed.join(merged(sizes), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n"), "blocks")
+    rows_out = dealt.join(merged(kept), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = rows_out.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "known", "members")
-    tasks = max(1, math.ceil((dealt.join(kept.select("node", "n"), "node").agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) / TASK_MEMBERS))
+    tasks = max(1, math.ceil((dealt.join(merged(kept.select("node", "n")), "node").agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) / TASK_MEMBERS))
     grouped = pairs.groupBy(F.pmod(F.xxhash64("component", "low", "high"), F.lit(max(tasks, 64))).alias("task"))
     return sure.union(grouped.applyInArrow(_verified(similarity), "u long, v long"))

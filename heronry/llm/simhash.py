@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import _LOWER, fresh, map_batches, quoted, removed_after, texts_of, written
+from .common import _LOWER, fresh, map_batches, merged, quoted, removed_after, texts_of, written
 from .graph import components
 from .resemblance import alike
 
@@ -178,7 +178,7 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     """
     keys = fps.select("fp").mapInArrow(_expand, "key long, fp long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    together = written(keys.join(sizes, "key"), "keys")
+    together = written(keys.join(merged(sizes), "key"), "keys")
     few = together.filter(F.col("n") <= group).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     near = map_batches(few.select("fps"), _verified(MAX_BITS), "u long, v long")
     around = F.array(F.lit(0).cast("long"), *(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in (1 << b for b in range(64))))
@@ -245,11 +245,11 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         marked = written(map_batches(named, run, "doc_id long, digest long, node long, n long, fp long"), "sets-named")
         groups = written(marked.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp")), "groups")
         leads = written(groups.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
-        lead = lambda side: leads.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead"))
+        lead = lambda side: merged(leads.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead")))
         across = links(leads).distinct().join(lead("u"), "u").join(lead("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
-        within = groups.join(leads, "fp").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+        within = groups.join(merged(leads), "fp").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
         found = alike(named.select("digest", "text"), marked.drop("fp"), sets, name, similarity, across.union(within))
-        placed = groups.join(components(found), "node", "left")
+        placed = groups.join(merged(components(found)), "node", "left")
         stays = placed.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
         stays = keep(written(stays.select(F.col("first.doc_id").alias(mine), F.col("first.digest").alias(mark)).distinct(), "representatives"))
-    return docs.join(stays, ident.eqNullSafe(F.col(mine)) & (digest == F.col(mark)), "left_semi")
+    return docs.join(merged(stays), ident.eqNullSafe(F.col(mine)) & (digest == F.col(mark)), "left_semi")
