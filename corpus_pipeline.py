@@ -7,12 +7,13 @@ Toxic documents go, exact copies and near duplicates leave one document each, th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from heronry.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from heronry.llm.common import removed_after, table, written
+from heronry.llm.common import removed_after, small_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,12 +39,26 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "source"))
 
 
+def _with_small_batches(stage: Stage) -> Stage:
+    """All stages share their executors, whose workers keep what they have once needed: so none takes large batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", toxicity_stage),
-    ("exact_dedup", exact_dedup_stage),
-    ("near_dedup", near_dedup_stage),
-    ("mixing", mixing_stage),
-    ("encoding", encoding_stage),
+    (name, _with_small_batches(stage))
+    for name, stage in [
+        ("toxicity", toxicity_stage),
+        ("exact_dedup", exact_dedup_stage),
+        ("near_dedup", near_dedup_stage),
+        ("mixing", mixing_stage),
+        ("encoding", encoding_stage),
+    ]
 ]
 
 #: The first, third and last stage are beyond SQL; tests hold every stage against a plain version.

@@ -117,6 +117,18 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return back
 
 
+#: Rows of an Arrow batch for whole texts, of which a task's JVM side and its worker hold a few at once.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have TEXT_ROWS rows at most; a lower setting stays. It can't end with the
+    call that sets it: what a stage returns is only run when the caller writes it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def merged(df: DataFrame) -> DataFrame:
     """`df` as a side of a join that sorts and merges, whatever its size: a table that grows with the corpus is not
     gathered by the driver, as a broadcast would."""

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, merged, written
 from .graph import components
 
-#: Members that a bucket is meant for; sets and members of a block; members that a task verifies at once.
-BUCKET_MEMBERS, BLOCK_SETS, BLOCK_MEMBERS, TASK_MEMBERS = 1 << 19, 256, 1 << 18, 1 << 20
+#: Members that a bucket is meant for, and that are dealt at once; sets and members of a block; members that a task
+#: verifies at once.
+BUCKET_MEMBERS, DEALT_MEMBERS, BLOCK_SETS, BLOCK_MEMBERS, TASK_MEMBERS = 1 << 18, 1 << 19, 256, 1 << 18, 1 << 20
 
 #: An odd constant that spreads hashes over buckets (fixed value, 2**64 divided by the golden ratio).
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +71,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.repeat(sizes, sizes)
 
 
-def _chunks(pairs: Iterator[tuple[int, np.ndarray]], members: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def _chunks(pairs: Iterator[tuple[int, np.ndarray]], members: int = DEALT_MEMBERS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     nodes, sets, held = [], [], 0
     for node, s in pairs:
         nodes.append(node)
